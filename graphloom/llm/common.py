@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +57,13 @@ def words(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
-def running_totals(a: Column, chunk: int = 128) -> Column:
-    """[0, a0, a0+a1, ...] (one longer than *a*), natively, in linear time for arrays of any length.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with *value* evaluated once, also where *body* uses it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_totals(numbers: Column, chunk: int = 128) -> Column:
+    """[0, a0, a0+a1, ...] (one longer than *numbers*), natively, in near linear time for arrays of any length.
 
     Plain array appends copy the array at each step; two levels keep a copy under *chunk* entries
     or under size/chunk entries.
@@ -67,30 +73,41 @@ def running_totals(a: Column, chunk: int = 128) -> Column:
     def grow(xs: Column, first: Column) -> Column:
         return F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    def step(at: Column) -> Column:
-        return F.slice(a, at * chunk + 1, F.lit(chunk))
-
-    n = F.size(a)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
-    sums = F.transform(starts, lambda i: F.aggregate(step(i), zero, lambda x, y: x + y))
-    bases = grow(sums, zero)
-    body = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.slice(grow(step(i), F.element_at(bases, i + 1)), F.lit(2), F.lit(chunk)),
+    def total(a: Column) -> Column:
+        def step(i: Column) -> Column:
+            return F.slice(a, i * chunk + 1, F.lit(chunk))
+
+        n = F.size(a)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(starts, lambda i: F.aggregate(step(i), zero, lambda x, y: x + y))
+        return let(
+            grow(sums, zero),
+            lambda bases: F.concat(
+                F.array(zero),
+                F.flatten(F.transform(starts, lambda i: F.slice(grow(step(i), F.element_at(bases, i + 1)), F.lit(2), F.lit(chunk)))),
+            ),
         )
-    )
-    return F.concat(F.array(zero), body)
 
+    return let(F.transform(numbers, lambda x: x.cast("bigint")), total)
 
-def spans_of(text: Column, pattern: str) -> tuple[Column, Column]:
-    """(matches, starts): all leftmost non-overlapping matches and their code-point offsets.
 
-    Matches and the pieces between them alternate, so their lengths give the offsets.
+def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct<start:long,end:long,match:string,part:string>> of all leftmost non-overlapping matches.
+
+    Matches and the pieces between them alternate, so their lengths give the code-point offsets; *part* is *group*.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.flatten(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.array(F.length(g), F.length(m))))
-    totals = running_totals(F.transform(both, lambda x: x.cast("bigint")))
-    starts = F.transform(found, lambda _, i: F.element_at(totals, i * 2 + 2))
-    return found, starts
+
+    def located(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        lengths = F.flatten(F.zip_with(gaps, found, lambda g, m: F.array(F.length(g), F.length(m))))
+
+        def build(totals: Column) -> Column:
+            return F.transform(found, lambda m, i: F.struct(F.element_at(totals, i * 2 + 2).alias("start"), F.element_at(totals, i * 2 + 3).alias("end"), m.alias("match"), m.alias("part")))
+
+        return let(running_totals(lengths), build)
+
+    plain = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
+    if group:
+        plain = F.zip_with(plain, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda s, p: s.withField("part", p))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string,part:string>>")
+    return F.when(text.rlike(pattern), plain).otherwise(none)

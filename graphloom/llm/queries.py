@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_format
 from .packing import op8_packing
+from .quality import op9_quality_rules
+from .secrets import op2_secret_scan
 from .token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_secret_scan": op2_secret_scan,
     "op5_chat_format": op5_chat_format,
     "op8_packing": op8_packing,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL = {
