@@ -6,11 +6,13 @@ from .chat import OP5_SQL, op5_chat_format
 from .packing import op8_packing
 from .quality import op9_quality_rules
 from .secrets import op2_secret_scan
+from .simhash import op3_simhash
 from .token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
+    "op3_simhash": op3_simhash,
     "op5_chat_format": op5_chat_format,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
