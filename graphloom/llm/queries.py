@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_format
+from .decontaminate import op7_decontaminate
 from .packing import op8_packing
+from .pii import op4_pseudonyms
 from .quality import op9_quality_rules
 from .secrets import op2_secret_scan
 from .simhash import op3_simhash
@@ -13,7 +15,9 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash": op3_simhash,
+    "op4_pseudonyms": op4_pseudonyms,
     "op5_chat_format": op5_chat_format,
+    "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
 }
