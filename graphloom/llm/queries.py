@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_format
 from .decontaminate import op7_decontaminate
+from .licenses import op10_license_scan
 from .packing import op8_packing
 from .pii import op4_pseudonyms
 from .quality import op9_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
