@@ -108,8 +108,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(placed), part, dtype=np.int32)), *(pa.array(c, pa.int64()) for c in columns)], names=["part", *names])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = enc.ids(text) + end
+            for doc_id, data in zip(batch.column(0).to_pylist(), enc.ids_of(batch.column(1).to_pylist())):
+                data += end
                 pieces.append((len(docs_held), 0, len(data) // 4))
                 docs_held.append((doc_id, data))
                 held += len(data) // 4

@@ -31,6 +31,7 @@ BLOCK = 8192
 SEGMENT_IDS = 1 << 19
 COUNTS = np.array([240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
+_WIDTH = np.array([i.bit_length() for i in range(1 << 17)], dtype=np.uint8)
 _SHIFTS = {k: (np.arange(COUNTS[k]) * BITS[k]).astype(np.uint64) for k in range(2, 16)}
 
 SEGMENTS = "shard int, segment int, start long, n_docs long, n_ids long, payload binary"
@@ -39,8 +40,11 @@ DOCS = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each value."""
+    top = int(ids.max()) if len(ids) else 0
+    if top < len(_WIDTH):
+        return _WIDTH[ids.astype(np.int64)]
     out = np.zeros(len(ids), dtype=np.uint8)
-    if len(ids) and int(ids.max()) < 1 << 52:
+    if top < 1 << 52:
         np.copyto(out, np.frexp(ids.astype(np.float64))[1], casting="unsafe")
         return out
     for b in range(64):
@@ -64,8 +68,8 @@ def encode_block(ids: np.ndarray, escapes: list[int]) -> np.ndarray:
         over(a, b)
     selector = np.full(n, 1, dtype=np.uint8)
     for k in range(15, 1, -1):
-        selector[top[int(COUNTS[k])][:n] <= BITS[k]] = k
-    selector[top[240][:n] == 0] = 0
+        np.putmask(selector, top[int(COUNTS[k])][:n] <= BITS[k], k)
+    np.putmask(selector, top[240][:n] == 0, 0)
     follow = (np.arange(n) + COUNTS[selector]).tolist()
     at, i = [], 0
     while i < n:
@@ -154,8 +158,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = enc.ids(text) + end
+            for doc_id, got in zip(batch.column(0).to_pylist(), enc.ids_of(batch.column(1).to_pylist())):
+                got += end
                 ids.append(got)
                 doc_ids.append(-(1 << 63) if doc_id is None else doc_id)
                 counts.append(len(got) // 4)
@@ -165,7 +169,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if doc_ids:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 

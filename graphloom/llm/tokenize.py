@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -20,9 +21,11 @@ CACHE_PIECES = 1_200_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 48
 
-_BLANK = re.compile(rb" (?=[!-~\xc3-\xdf])")
-_ODD_BLANK = re.compile(rb" (?![!-~\xc3-\xdf])")
-_LINE = re.compile(rb"(?<=[!-~])\n(?=[!-~\xc3-\xdf])")
+#: Text that pieces are looked up for together.
+GROUP_CHARS = 1 << 19
+#: A blank or line end beside something that may be white space (E1-E3 and EF start some), or a zero byte.
+_ODD = re.compile(rb" (?![!-~\xc3-\xdf])|(?<![!-~])\n|\n(?![!-~\xc3-\xdf])|\0")
+_BEFORE_BLANK = re.compile(rb"(?= [!-~\xc3-\xdf])")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -48,57 +51,67 @@ class Encoder:
         steps = pre.get("pretokenizers", [pre])
         self.keeps_blank = state.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.drops_blank = any(s.get("type") == "Split" and s.get("invert") and s.get("behavior") == "Removed" for s in steps)
+        # a mark that is a token of its own between pieces: a line end, or a control character as a word
+        self.mark, self.mark_byte = ("\n", b"\n") if self.keeps_blank else (" \x01 ", b"\x01")
+        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[-1]
         self.cache: dict[bytes, bytes] = {}
-        self.bare: dict[bytes, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[bytes], lead: bytes) -> dict[bytes, bytes]:
-        """Encode pieces that the cache lacks, all in one call; *lead* stands before each."""
-        new = list(dict.fromkeys(pieces))
-        found = self.tokenizer.encode_batch_fast([(lead + p).decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        got = {p: array("I", e.ids).tobytes() for p, e in zip(new, found)}
+    def _pieces(self, text: str | None) -> list[bytes]:
+        """Pieces whose ids, joined, are those of the text."""
+        data = (text or "").encode("utf-8", "replace")
+        if self.drops_blank:
+            return data.split()
+        if not self.keeps_blank:
+            return [data]
+        if _ODD.search(data):
+            return _BEFORE_BLANK.split(data)
+        return data.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0")
+
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Encode pieces that the cache lacks in one call, a mark of one known id between them."""
+        new, odd = [], []
+        for p in dict.fromkeys(pieces):
+            (odd if self.mark_byte in p or not p or not (self.drops_blank or self.keeps_blank) else new).append(p)
+        got = {p: self.encode(p.decode("utf-8", "replace")) for p in odd}
+        if new:
+            text = self.mark.join([p.decode("utf-8", "replace") for p in new])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark_id)
+            data, at = ids.tobytes(), 0
+            for p, end in zip(new, [*ends.tolist(), len(ids)], strict=True):
+                got[p] = data[4 * at : 4 * end]
+                at = end + 1
         if len(self.cache) + len(got) > CACHE_PIECES:
             self.cache.clear()
         self.cache.update((p, x) for p, x in got.items() if len(p) <= CACHE_CHARS)
         return got
 
-    def _join(self, pieces: list[bytes], lead: bytes = b"") -> bytes:
-        cache = self.cache
-        missing = [p for p in pieces if p not in cache]
-        if not missing:
-            return b"".join([cache[p] for p in pieces])
-        known = {p: cache[p] for p in pieces if p in cache}  # learning may start the cache anew
-        known.update(self._learn(missing, lead))
-        return b"".join([known[p] for p in pieces])
+    def _group(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self._pieces(t) for t in texts]
+        pieces = cut[0] if len(cut) == 1 else list(chain.from_iterable(cut))
+        got = list(map(self.cache.get, pieces))
+        if None in got:
+            missing = [i for i, x in enumerate(got) if x is None]
+            learned = self._learn([pieces[i] for i in missing])
+            for i in missing:
+                got[i] = learned[pieces[i]]
+        ends = list(accumulate(map(len, cut), initial=0))
+        return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def ids_of(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text, in order; texts are looked up in groups of bounded size."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "") + 64
+            if size >= GROUP_CHARS:
+                yield from self._group(held)
+                held, size = [], 0
+        if held:
+            yield from self._group(held)
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not (self.drops_blank or self.keeps_blank):
-            return self.encode(text)
-        data = text.encode("utf-8", "replace")
-        if self.drops_blank:
-            return self._join(data.split())
-        # Cut before each blank that a visible ASCII or Latin letter follows, and around a line end between
-        # such letters: the tokenizer always does.  (A first byte over 0xC2 starts a character from U+00C0 on;
-        # E1-E3 and EF may start white space.)
-        plain = not _ODD_BLANK.search(data)
-        out = []
-        for i, line in enumerate(_LINE.split(data)):
-            if i:
-                out.append(self._bare(b"\n"))
-            first, *rest = line.split(b" ") if plain else _BLANK.split(line)
-            out += (self._bare(first), self._join(rest, b" "))
-        return b"".join(out)
-
-    def _bare(self, piece: bytes) -> bytes:
-        """A piece with no blank before it, such as a line's first word."""
-        if (got := self.bare.get(piece)) is None:
-            got = self.encode(piece.decode("utf-8", "replace"))
-            if len(self.bare) >= CACHE_PIECES // 8:
-                self.bare.clear()
-            if len(piece) <= CACHE_CHARS:
-                self.bare[piece] = got
-        return got
+        return self._group([text])[0]
