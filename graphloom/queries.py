@@ -2,5 +2,426 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import fixtures as X
+from .functions import text as T
+from .operators import chunking, dedup, extraction, retrieval, sections
+from .plans import analytics
+from .plans.graph import Graph, collapse, merge, rewrite, sanitize_predicate, sink_edges
+from .sources import sinks
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+_PLACES = """
+select n_name as subject, 'part_of' as predicate, r_name as object from nation join region on n_regionkey = r_regionkey
+union select s_name, 'located_in', n_name from supplier join nation on s_nationkey = n_nationkey
+union select c_name, 'located_in', n_name from customer join nation on c_nationkey = n_nationkey"""
+_KG = f"""with kg as ({_PLACES}
+union select s_name, 'supplies_' || l_returnflag, 'Part#' || l_partkey from lineitem join supplier on l_suppkey = s_suppkey),
+ents as (select subject as name from kg union select object from kg)"""
+_SMALL = f"with kg as ({_PLACES}), ents as (select subject as name from kg union select object from kg)"
+_PAIRS = """pairs as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity
+  from embeddings a join embeddings b on a.vec_id < b.vec_id
+  where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4 - 1e-12)"""
+_SIM = f"""with recursive {_PAIRS},
+ents as (select 'v' || vec_id as name from embeddings),
+kg as (select 'v' || a as subject, 'similar' as predicate, 'v' || b as object from pairs)"""
+
+
+# --- graph set algebra ---
+
+
+@query(_KG + " select subject, predicate, object from kg")
+def kg_triples(spark, sf):
+    return X.kg(spark, sf).triples
+
+
+@query(_KG + " select distinct predicate from kg")
+def kg_vocab(spark, sf):
+    return X.kg(spark, sf).predicates
+
+
+@query(_KG + " select name from ents")
+def kg_entities(spark, sf):
+    return X.kg(spark, sf).entities
+
+
+@query(_KG + ", c as (select subject as src, object as dst, arg_max(predicate, predicate) as relation, min(predicate) as pos from kg group by all) select * from c")
+def kg_digraph_collapse(spark, sf):
+    return collapse(X.kg(spark, sf).triples)
+
+
+@query(_KG + " select 'e' as kind, name from ents union all select 'p', predicate from (select distinct predicate from kg) union all select 't', count(*)::varchar from kg")
+def kg_merge(spark, sf):
+    """Merge of three graphs that overlap; merging again changes nothing."""
+    places, supplies = X.place_triples(spark, sf), X.supply_triples(spark, sf)
+    g = merge([Graph.of(places), Graph.of(supplies), Graph.of(places.filter(F.col("predicate") == "part_of"))])
+    row = lambda k, c: [F.lit(k).alias("kind"), c.alias("name")]
+    return g.entities.select(*row("e", F.col("name"))).unionByName(g.predicates.select(*row("p", F.col("predicate")))).unionByName(g.triples.agg(F.count(F.lit(1)).cast("string").alias("n")).select(*row("t", F.col("n"))))
+
+
+@query(_SMALL + " select name from ents union select 'lonely'")
+def kg_repair(spark, sf):
+    t = X.place_triples(spark, sf)
+    broken = Graph(spark.createDataFrame([("lonely",)], "name string"), spark.createDataFrame([], "predicate string"), t)
+    return broken.repair().entities
+
+
+@query(_KG + """, s as (select distinct predicate || '-' || left(object, 1) as p from kg)
+select p, case when regexp_replace(p, '[^0-9A-Za-z_一-鿿]', '_', 'g') similar to '[0-9].*' then 'REL_' else '' end || regexp_replace(p, '[^0-9A-Za-z_一-鿿]', '_', 'g') as rel_type from s""")
+def kg_predicate_sanitize(spark, sf):
+    p = X.kg(spark, sf).triples.select(F.concat("predicate", F.lit("-"), F.substring("object", 1, 1)).alias("p")).distinct()
+    return p.select("p", sanitize_predicate(F.col("p")).alias("rel_type"))
+
+
+@query(_KG + """ select subject, regexp_replace(predicate, '[^0-9A-Za-z_一-鿿]', '_', 'g') as rel_type, object, max(predicate) as predicate
+from kg where subject <> 'Supplier#1' group by all""")
+def kg_sink_dedupe(spark, sf):
+    g = X.kg(spark, sf)
+    return sink_edges(Graph(g.entities.filter("name <> 'Supplier#1'"), g.predicates, g.triples.filter("subject <> 'Supplier#1'")))
+
+
+@query(_SMALL + """, m as (select name, case when name like 'Customer#%' then 'Customer' else name end as canonical from ents)
+select distinct a.canonical as subject, case predicate when 'located_in' then 'in' else predicate end as predicate, b.canonical as object
+from kg join m a on subject = a.name join m b on object = b.name""")
+def kg_rewrite_canonical(spark, sf):
+    g = X.places(spark, sf)
+    names = g.entities.filter(F.col("name").startswith("Customer#")).select("name", F.lit("Customer").alias("canonical"))
+    return rewrite(g, names, spark.createDataFrame([("located_in", "in")], "name string, canonical string")).triples
+
+
+@query(_SMALL + " select n.name as name, count(t.subject)::bigint as n from ents n left join kg t on t.object = n.name where n.name not like 'Customer#%' group by all")
+def kg_sql_passthrough(spark, sf):
+    return sinks.query_graph(X.places(spark, sf), "select n.name, count(t.subject) as n from {nodes} n left join {triples} t on t.object = n.name where n.name not like 'Customer#%' group by n.name")
+
+
+# --- analytics ---
+
+_DEGREE = """, deg as (select name, count(k.e)::bigint as degree, coalesce(sum(i), 0)::bigint as in_degree, coalesce(sum(o), 0)::bigint as out_degree
+from ents left join (select subject as e, 0 as i, 1 as o from kg union all select object, 1, 0 from kg) k on name = e group by name)"""
+
+
+@query(_KG + _DEGREE + " select * from deg")
+def kg_degree(spark, sf):
+    return analytics.degrees(X.kg(spark, sf))
+
+
+@query(_KG + _DEGREE + " select * from deg order by degree desc, lower(name), name limit 10")
+def kg_top_entities(spark, sf):
+    return analytics.top_entities(X.kg(spark, sf))
+
+
+@query(_KG + " select predicate, count(*)::bigint as n from kg group by predicate order by n desc, lower(predicate), predicate limit 10")
+def kg_top_predicates(spark, sf):
+    return analytics.top_predicates(X.kg(spark, sf))
+
+
+@query(_KG + """ select (select count(*) from ents)::bigint as n_entities, count(distinct predicate)::bigint as n_predicates, count(*)::bigint as n_triples,
+round(2.0::double * count(*) / (select count(*) from ents), 2) as average_degree,
+round(count(*) / ((select count(*) from ents)::double * ((select count(*) from ents) - 1)), 3) as density from kg""")
+def kg_stats(spark, sf):
+    return analytics.statistics(X.kg(spark, sf))
+
+
+@query(_SIM + " select name from ents where name not in (select subject from kg union select object from kg)")
+def kg_isolated(spark, sf):
+    return analytics.isolated(X.sim(spark, sf))
+
+
+@query(_SMALL + """ select name, array_to_string(list_sort(list(distinct other)), ',') as neighbors
+from (select subject as name, object as other from kg union all select object, subject from kg) group by name""")
+def kg_neighbors(spark, sf):
+    return analytics.neighbors(X.places(spark, sf)).select("name", F.array_join("neighbors", ",").alias("neighbors"))
+
+
+@query(_SIM + """, reach as (select name, name as other from ents union select r.name, e.t from reach r
+  join (select subject as f, object as t from kg union all select object, subject from kg) e on e.f = r.other),
+comp as (select name, min(other) as component from reach group by name)
+select name, component, count(*) over (partition by component)::bigint as size from comp""")
+def kg_components(spark, sf):
+    return analytics.components(X.sim(spark, sf))
+
+
+@query(_KG + """ select 'e' || (row_number() over (order by lower(predicate), lower(subject), lower(object), predicate, subject, object) - 1) as id, subject, predicate, object from kg""")
+def kg_relation_ids(spark, sf):
+    return analytics.ordered_relations(X.kg(spark, sf))
+
+
+@query("""with c as (select 'b' || p_brand as representative, p_name as member from part)
+select representative, count(distinct m)::bigint as size from (select representative, member as m from c union all select representative, representative from c) group by 1""")
+def kg_cluster_sizes(spark, sf):
+    return analytics.cluster_sizes(X.table(spark, sf, "part").select(F.concat(F.lit("b"), "p_brand").alias("representative"), F.col("p_name").alias("member")))
+
+
+# --- graph retrieval ---
+
+_SEEDS = "seeds as (select 0 as query_id, 'v' || vec_id as name, 1.0::double / (1 + vec_id) as score from embeddings where vec_id < 60)"
+
+
+def _seeds(spark, sf) -> DataFrame:
+    ids = X.table(spark, sf, "embeddings").filter("vec_id < 60")
+    return ids.select(F.lit(0).alias("query_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), (F.lit(1.0) / (1 + F.col("vec_id"))).alias("score"))
+
+
+@query(_SIM + f""", {_SEEDS}, both_ways as (select subject as f, object as t from kg union all select object, subject from kg),
+near as (select name from seeds union select t from both_ways join seeds on f = name)
+select distinct 0 as query_id, subject as src, predicate as relation, object as dst from kg where subject in (select name from near) or object in (select name from near)""")
+def kg_khop_context(spark, sf):
+    return retrieval.khop_context(X.sim(spark, sf).triples, _seeds(spark, sf), 2)
+
+
+@query(_SIM + f""", {_SEEDS}, both_ways as (select subject as f, object as t from kg union all select object, subject from kg),
+hop as (select t as name, 0.5 * max(score) as score from both_ways join seeds on f = name where t not in (select name from seeds) group by t),
+near as (select name, score from seeds union all select * from hop),
+scored as (select subject as src, predicate as relation, object as dst, greatest(0, max(n.score)) as score from kg join near n on n.name in (subject, object) group by all),
+ranked as (select *, row_number() over (order by score desc, src, relation, dst) as rank from scored)
+select 0 as query_id, rank::int as rank, src, relation, dst, round(score, 6) as score from ranked where rank <= 40""")
+def kg_subgraph_decay(spark, sf):
+    return retrieval.decayed_subgraph(X.sim(spark, sf).triples, _seeds(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+# --- text ---
+
+
+@query("""select conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) order by turn, role || ': ' || coalesce(text, '')) as text from conversations
+where role in ('user', 'assistant') group by conv_id""")
+def conv_flatten(spark, sf):
+    return extraction.flatten_conversations(X.table(spark, sf, "conversations"))
+
+
+_SPLIT = r"""regexp_replace({t}, '([。！？；!?;])\s*|\n+', '\1' || chr(1), 'g')"""
+
+
+@query(f"""with s as (select doc_id, unnest(list_filter(list_transform(string_split({_SPLIT.format(t='text')}, chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')) as sentence from documents)
+select doc_id, count(*)::bigint as n, md5(string_agg(sentence, '|' order by sentence)) as digest from s group by doc_id""")
+def doc_sentences(spark, sf):
+    s = X.table(spark, sf, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.concat_ws("|", F.array_sort(F.collect_list("sentence")))).alias("digest"))
+
+
+@query()
+def doc_chunks_kg(spark, sf):
+    """Sentence chunks of at most 500 characters; held against a sequential version in the tests."""
+    return chunking.chunk_documents(X.table(spark, sf, "documents").select("doc_id", "text"), 500)
+
+
+@query()
+def doc_chunks_rag(spark, sf):
+    """Overlapping passages; held against a sequential version in the tests."""
+    return chunking.chunk_pages(X.table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("""select x as term, count(distinct doc_id)::bigint as df from (select doc_id, unnest(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) as x
+from (select doc_id, trim(lower(text), ' ' || chr(10)) as t from documents)) group by 1""")
+def doc_bigram_df(spark, sf):
+    d = X.table(spark, sf, "documents")
+    return retrieval.document_frequencies(retrieval.postings(d, T.bigrams(F.col("text"))))
+
+
+_BM25 = """toks as (select doc_id, unnest(string_split_regex(lower(trim(text, ' ' || chr(10))), '\\s+')) as term from documents),
+len as (select doc_id, count(*) as dl from toks group by 1), corpus as (select (select count(*) from documents) as n, (select count(*) from toks)::double / (select count(*) from documents) as avgdl),
+post as (select doc_id, term, count(*) as tf from toks group by all),
+raw as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as r from post, corpus group by term, n),
+idf as (select term, case when r < 0 then 0.25 * (select avg(r) from raw) else r end as idf from raw),
+asked as (select item_id as query_id, term, count(*) as times from (select item_id, unnest(string_split_regex(lower(trim(text, ' ' || chr(10))), '\\s+')) as term from benchmark where item_id < 5) group by all),
+bm as (select query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as bm25 from asked join post using (term) join idf using (term) join len using (doc_id), corpus group by all)"""
+
+
+def _bm25(spark, sf) -> DataFrame:
+    d, q = X.table(spark, sf, "documents"), X.table(spark, sf, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.bm25(d, q, T.tokens(F.col("text")), T.tokens(F.col("text")))
+
+
+@query(f"with {_BM25} select query_id, doc_id, round(bm25, 6) as bm25 from bm")
+def bm25_scores(spark, sf):
+    return _bm25(spark, sf).withColumn("bm25", F.round("bm25", 6))
+
+
+@query(f"with {_BM25}, r as (select *, row_number() over (partition by query_id order by round(bm25, 6) desc, doc_id) as rank from bm) select query_id, doc_id, round(bm25, 6) as bm25, rank::int as rank from r where rank <= 4")
+def bm25_topk(spark, sf):
+    return retrieval.top_k(_bm25(spark, sf).withColumn("bm25", F.round("bm25", 6)), 4, "bm25")
+
+
+def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    e = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return e, e.filter("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+_COS = """cs as (select q.vec_id as query_id, e.vec_id as doc_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as cosine
+from embeddings e join embeddings q on q.vec_id < 5)"""
+
+
+@query(f"with {_COS}, r as (select *, row_number() over (partition by query_id order by cosine desc, doc_id) as rank from cs) select query_id, doc_id, cosine, rank::int as rank from r where rank <= 8")
+def vec_topk(spark, sf):
+    e, q = _vectors(spark, sf)
+    scored = retrieval.vector_scores(e, q).withColumn("cosine", F.round("cosine", 6)).drop("embedding")
+    return retrieval.top_k(scored, 8, "cosine")
+
+
+@query(f"with {_PAIRS} select a, b, round(similarity, 6) as similarity from pairs")
+def vec_pairs(spark, sf):
+    return X.sim_pairs(spark, sf).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""with {_PAIRS}, nb as (select v.vec_id as id, coalesce(list(p.a) filter (where p.a is not null), []) as lower from embeddings v left join pairs p on p.b = v.vec_id group by 1),
+o as (select list(struct_pack(id := id, lower := lower) order by id) as xs from nb),
+k as (select list_reduce(list_prepend([]::bigint[], list_transform(xs, lambda x: list_prepend(x.id, x.lower))), lambda acc, x: case when list_has_any(acc, x[2:]) then acc else list_append(acc, x[1]) end) as kept from o)
+select id as item, coalesce((select min(p.a) from pairs p, k where p.b = nb.id and list_contains(k.kept, p.a)), id)::bigint as representative from nb""")
+def vec_dedup_greedy(spark, sf):
+    return dedup.greedy_selection(X.table(spark, sf, "embeddings"), X.sim_pairs(spark, sf), "vec_id")
+
+
+@query()
+def vec_assign_capacity(spark, sf):
+    """Three fixed centres of capacity 100; held against a sequential version in the tests."""
+    e = X.table(spark, sf, "embeddings")
+    centers = e.filter("vec_id < 3").select(F.col("vec_id").cast("int").alias("cluster"), F.col("embedding").cast("array<double>").alias("center"))
+    return dedup.assign_with_capacity(e.withColumn("embedding", F.col("embedding").cast("array<double>")), centers, 100, "vec_id")
+
+
+_HYBRID = f"""{_BM25}, {_COS}, best as (select query_id, max(bm25) as top from bm group by 1),
+h as (select c.query_id, c.doc_id, round(0.7 * cosine + 0.3 * case when top > 0 then coalesce(bm25, 0) / top else 0 end, 6) as score from cs c left join bm using (query_id, doc_id) left join best using (query_id)),
+r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from h)"""
+
+
+def _hybrid(spark, sf, k: int) -> DataFrame:
+    e, q = _vectors(spark, sf)
+    vectors = retrieval.vector_scores(e, q).withColumn("cosine", F.round("cosine", 6)).drop("embedding")
+    fused = retrieval.fuse(vectors, _bm25(spark, sf)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return retrieval.top_k(fused, k)
+
+
+@query(f"with {_HYBRID} select query_id, doc_id, score, rank::int as rank from r where rank <= 4")
+def hybrid_topk(spark, sf):
+    return _hybrid(spark, sf, 4)
+
+
+@query(f"with {_HYBRID} select query_id, 'v' || doc_id as name, score, rank::int as rank from r where rank <= 8")
+def entity_link(spark, sf):
+    return _hybrid(spark, sf, 8).select("query_id", F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("name"), "score", "rank")
+
+
+@query(f"""with {_HYBRID} select query_id, 0 as type_ord, 'chunk' as type, rank::int as rank, case when length(trim(text, ' ' || chr(10))) > 160 then left(trim(text, ' ' || chr(10)), 160) || '…' else trim(text, ' ' || chr(10)) end as text, source, score
+from r join documents using (doc_id) where rank <= 4
+union all select query_id, 1, 'entity', rank::int, null, null, score from r where rank <= 8""")
+def source_fusion(spark, sf):
+    docs = X.table(spark, sf, "documents").select("doc_id", "text", "source", F.lit(None).cast("int").alias("page"))
+    chunks = _hybrid(spark, sf, 4).join(docs, "doc_id")
+    entities = entity_link(spark, sf)
+    none = spark.createDataFrame([], "query_id bigint, rank int, src string, relation string, dst string, score double")
+    return retrieval.fuse_sources(chunks, entities, none).select("query_id", "type_ord", "type", "rank", "text", "source", "score")
+
+
+# --- model answers and cache ---
+
+
+@query("select event_id, (props::json->>'$.k')::bigint as k from events")
+def json_props(spark, sf):
+    return X.table(spark, sf, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("""select p_partkey, case p_partkey % 5 when 0 then p_name || '|' || p_brand when 4 then '' else trim(p_name) end as names from part""")
+def llm_entities_parse(spark, sf):
+    p = X.table(spark, sf, "part")
+    name, k = F.col("p_name"), F.col("p_partkey") % 5
+    answer = (
+        F.when(k == 0, F.to_json(F.struct(F.array(F.struct(name.alias("name"), F.lit("part").alias("type")), F.struct(F.col("p_brand").alias("name"), F.lit("brand").alias("type"))).alias("entities"))))
+        .when(k == 1, F.to_json(F.struct(F.array(name).alias("entities"))))
+        .when(k == 2, F.to_json(F.array(F.struct(F.concat(F.lit(" "), name).alias("entity")))))
+        .when(k == 3, F.to_json(F.array(name)))
+        .otherwise(F.concat(F.lit('{"entities": ['), name))
+    )
+    return p.select("p_partkey", F.array_join(T.parse_entities(answer), "|").alias("names"))
+
+
+@query("""select s_suppkey, s_name as subject, 'in' as predicate, 'nation' || s_nationkey as object from supplier where s_suppkey % 3 <> 2 and s_nationkey % 2 = 0""")
+def llm_relations_parse(spark, sf):
+    s = X.table(spark, sf, "supplier")
+    rel = F.struct(F.col("s_name").alias("subject"), F.when(F.col("s_suppkey") % 3 != 2, "in").alias("predicate"), F.concat(F.lit("nation"), "s_nationkey").alias("object"))
+    answer = F.when(F.col("s_suppkey") % 3 == 0, F.to_json(F.array(rel))).otherwise(F.to_json(F.struct(F.array(rel).alias("relations"))))
+    rows = s.select("s_suppkey", F.inline(T.parse_relations(answer)))
+    even = s.filter("s_nationkey % 2 = 0").select("s_suppkey", F.explode(F.array("s_name", F.concat(F.lit("nation"), "s_nationkey"))).alias("name"))
+    return extraction.known_endpoints(rows, even, "s_suppkey")
+
+
+@query("select doc_id, sha256('entities' || chr(0) || 'rules' || chr(0) || text) as key from documents")
+def cache_key(spark, sf):
+    return X.table(spark, sf, "documents").select("doc_id", T.cache_key("entities", "rules", F.col("text")).alias("key"))
+
+
+@query("""with k as (select doc_id, sha256('entities' || chr(0) || 'rules' || chr(0) || text) as key from documents), c as (select distinct key from k where doc_id % 3 = 0)
+select count(*) filter (where c.key is not null)::bigint as hits, count(*) filter (where c.key is null)::bigint as misses from k left join c using (key)""")
+def cache_antijoin(spark, sf):
+    keys = cache_key(spark, sf)
+    return extraction.cache_hits(keys, keys.filter("doc_id % 3 = 0"))
+
+
+@query(r"""with b as (select doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{2,}\b')) as name from documents) select doc_id, count(distinct name)::bigint as n_entities from b group by 1""")
+def extract_rule_entities(spark, sf):
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0)))
+    return X.table(spark, sf, "documents").select("doc_id", F.size(found).cast("bigint").alias("n_entities")).filter("n_entities > 0")
+
+
+@query()
+def extract_rule_graph(spark, sf):
+    """Cache-through extraction over documents with the offline rule adapters; held against direct calls in the tests."""
+    chunks = X.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    graph, _ = extraction.extract(chunks, spark.createDataFrame([], "key string, value string"))
+    return graph.triples
+
+
+# --- sections ---
+
+
+def _page_records(spark, sf) -> DataFrame:
+    """Documents as page records: their first line is a heading, each other line a text block."""
+    lines = F.split("text", "\n")
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), F.lit(1).alias("level"), text.alias("text"), text.alias("content"))
+    blocks = F.transform(lines, lambda x, i: F.when(i % 4 == 0, block("heading", x)).otherwise(block("text", x)))
+    return X.table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), blocks.alias("blocks"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
+s as (select doc_id, i // 4 + 1 as section, max(x) filter (where i % 4 = 0) as heading, string_agg(x || chr(10), '' order by i) filter (where i % 4 <> 0) as content from l group by all)
+select doc_id, section::bigint as section, heading, 1 as level, content from s where trim(coalesce(content, ''), ' ' || chr(10)) <> ''""")
+def page_sections(spark, sf):
+    return sections.assemble(_page_records(spark, sf))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
+s as (select doc_id, i // 4 as section, max(x) filter (where i % 4 = 0) as h, string_agg(x || chr(10), '' order by i) filter (where i % 4 <> 0) as content from l group by all),
+t as (select doc_id, section, content, case section % 6 when 0 then '1.1 ' || h when 1 then '思 考 题' when 2 then '实训项目' when 3 then h when 4 then '2.1 ' || h else '参考文献' end as heading, section % 6 as k from s)
+select doc_id, section::bigint as section, heading from t where k in (0, 4) and trim(coalesce(content, ''), ' ' || chr(10)) <> ''""")
+def sections_clean(spark, sf):
+    """Cleaning: the unnumbered section after a block heading goes with it, numbered ones stay."""
+    made = sections.assemble(_page_records(spark, sf)).withColumn("section", F.col("section") - 1)
+    k = F.col("section") % 6
+    h = F.col("heading")
+    # sections without content are gone already, so headings go by the original number
+    heading = F.when(k == 0, F.concat(F.lit("1.1 "), h)).when(k == 1, "思 考 题").when(k == 2, "实训项目").when(k == 3, h).when(k == 4, F.concat(F.lit("2.1 "), h)).otherwise("参考文献")
+    before = Window.partitionBy("doc_id").orderBy("section")
+    whole = made.withColumn("heading", heading).withColumn("_prev", F.lag("section").over(before))
+    kept = sections.clean(whole.drop("_prev"))
+    return kept.filter(k != 3).select("doc_id", "section", "heading")
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
+s as (select doc_id, i // 4 as section, max(x) filter (where i % 4 = 0) as h, trim(string_agg(x || chr(10), '' order by i) filter (where i % 4 <> 0), ' ' || chr(10)) as c from l group by all)
+select doc_id, md5(string_agg(case when h = '' then '' else h || chr(10) end || c, chr(10) order by section)) as digest from s where coalesce(c, '') <> '' group by 1""")
+def doc_flatten(spark, sf):
+    flat = sections.flatten(sections.assemble(_page_records(spark, sf)))
+    return flat.select("doc_id", F.md5("text").alias("digest"))
