@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Headings of sections that are left out, matched after white space is removed.
 SKIP_HEADINGS = (
@@ -49,18 +50,27 @@ def passages(c: Column) -> Column:
     return _cut(c, r"(?<=[。！？；!?;])|(?<=\n)")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with *value* evaluated once, also where *body* uses it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bigrams(c: Column) -> Column:
     """Character bigrams of the lower-cased, trimmed text; one character is a token, none are no tokens."""
-    t = strip(F.lower(c))
-    n = F.length(t)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2)))).when(n == 1, F.array(t)).otherwise(F.array().cast("array<string>"))
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        pairs = F.zip_with(F.split(t, ""), F.slice(F.split(t, ""), F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: F.concat(a, b))
+        return F.when(n >= 2, F.slice(pairs, F.lit(1), n - 1)).when(n == 1, F.array(t)).otherwise(F.array().cast("array<string>"))
+
+    return let(strip(F.lower(c)), cut)
 
 
 def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), U + r"\s+"), lambda t: t != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))

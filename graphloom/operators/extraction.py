@@ -70,10 +70,11 @@ def extract(chunks: DataFrame, cache: DataFrame, model: str = "rules", entities:
 
     keyed = chunks.select("chunk_id", "text", T.cache_key("entities", model, F.col("text")).alias("key"))
     answered, new_entities = through_cache(keyed, "key", cache, ask_entities, ["text"])
-    named = _persisted(cap_entities(answered.select("chunk_id", "text", T.parse_entities(F.col("value")).alias("entities"))))
+    answered = _persisted(answered.select("chunk_id", "text", T.parse_entities(F.col("value")).alias("entities")))
+    named = _persisted(cap_entities(answered))
     rekeyed = named.withColumn("key", T.cache_key("relations", model, F.col("text"), F.to_json("entities")))
     related, new_relations = through_cache(rekeyed, "key", cache, ask_relations, ["text", "entities"])
-    rows = related.select("chunk_id", F.inline(T.parse_relations(F.col("value"))))
+    rows = _persisted(related.select("chunk_id", F.inline(T.parse_relations(F.col("value")))))
     ends = named.select("chunk_id", F.explode("entities").alias("name"))
     triples = known_endpoints(rows, ends)
     return Graph.of(triples, ends.select("name")), new_entities.unionByName(new_relations)

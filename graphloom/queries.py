@@ -370,9 +370,9 @@ def cache_antijoin(spark, sf):
     return extraction.cache_hits(keys, keys.filter("doc_id % 3 = 0"))
 
 
-@query(r"""with b as (select doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{2,}\b')) as name from documents) select doc_id, count(distinct name)::bigint as n_entities from b group by 1""")
+@query("""with b as (select doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) as name from documents) select doc_id, count(distinct name)::bigint as n_entities from b group by 1""")
 def extract_rule_entities(spark, sf):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0)))
     return X.table(spark, sf, "documents").select("doc_id", F.size(found).cast("bigint").alias("n_entities")).filter("n_entities > 0")
 
 
