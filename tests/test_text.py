@@ -1,0 +1,73 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as T
+from graphloom.operators.chunking import overlap_passages, pack_sentences, split_long
+
+TEXTS = st.text(alphabet="ab 。!?;\n.c", max_size=120)
+
+
+@given(TEXTS, st.integers(5, 40))
+@settings(max_examples=200, deadline=None)
+def test_packed_chunks_keep_text_and_size(text, size):
+    chunks = pack_sentences(text, size)
+    assert all(0 < len(c) <= size for c in chunks)
+    assert re.sub(r"\s", "", "".join(chunks)) == re.sub(r"\s", "", text)
+
+
+@given(TEXTS, st.integers(10, 40))
+@settings(max_examples=200, deadline=None)
+def test_passages_stay_within_size_plus_overlap(text, size):
+    overlap = size // 3
+    assert all(len(c) <= size + overlap for c in overlap_passages(text, size, overlap))
+
+
+def test_long_sentences_split_at_words_or_characters():
+    assert split_long("aa bb cc", 5) == ["aa bb", "cc"]
+    assert split_long("abcdefg", 3) == ["abc", "def", "g"]
+    assert split_long("aaaaaaa b", 3) == ["aaa", "aaa", "a", "b"]
+
+
+def test_overlap_repeats_last_sentences():
+    assert overlap_passages("aaaa!bbbb!cccc!", 12, 6) == ["aaaa! bbbb!", "bbbb! cccc!"]
+
+
+def test_column_functions(spark):
+    rows = [(0, "一句。两句！ Third; x\n\ny", "ab"), (1, None, "a"), (2, "", "")]
+    df = spark.createDataFrame(rows, "id int, t string, w string").orderBy("id")
+    got = df.select(T.sentences(F.col("t")).alias("s"), T.bigrams(F.col("w")).alias("b"), T.cache_key("a", "m", F.col("w")).alias("k")).collect()
+    assert got[0].s == ["一句。", "两句！", "Third;", "x", "y"]
+    assert [r.b for r in got] == [["ab"], ["a"], []]
+    assert got[0].k == hashlib.sha256(b"a\0m\0ab").hexdigest()
+
+
+def test_entity_answers_in_all_shapes(spark):
+    cases = [
+        ('{"entities":[{"name":" a ","type":"t"}]}', [" a "]),
+        ('{"entities":["a "]}', ["a"]),
+        ('[{"name":"a","type":"t"},{"entity":"b"}]', ["a", "b"]),
+        ('["a","","b"]', ["a", "b"]),
+        ("[1, null, {}]", []),
+        ("{", []),
+        ("", []),
+        (None, []),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "id int, c string").coalesce(1)
+    assert [r.e for r in df.orderBy("id").select(T.parse_entities(F.col("c")).alias("e")).collect()] == [e for _, e in cases]
+
+
+def test_page_answers(spark):
+    rows = [(0, '```json\n{"title":"T","blocks":[{"type":"text","content":"c"}]}\n```'), (1, "plain"), (2, None)]
+    got = spark.createDataFrame(rows, "id int, c string").orderBy("id").select(T.parse_page(F.col("c")).alias("p")).collect()
+    assert got[0].p.title == "T" and got[0].p.blocks[0].content == "c"
+    assert got[1].p.type == "content" and got[1].p.blocks[0].content == "plain"
+    assert got[2].p.blocks[0].content == ""
+
+
+def test_normal_forms(spark):
+    rows = [("ｆｕｌｌ cities boxes classes bus",)]
+    assert spark.createDataFrame(rows, "t string").select(T.singularize(T.nfkc("t")).alias("t")).first().t == "full city box class bus"
