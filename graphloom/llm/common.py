@@ -57,6 +57,14 @@ def words(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """*name*, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with *value* evaluated once, also where *body* uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -221,11 +221,11 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
         return let(values, join)
 
     made = F.when(has, let(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), build))
-    other = [c for c in docs.columns if c not in ("text", "pii_kinds")]
-    out = docs.select(*docs.columns, made.alias("_made"))
+    new = common.fresh("_made", docs.columns)
+    out = docs.select(*[c for c in docs.columns if c != "pii_kinds"], made.alias(new))
     return out.select(
-        *[F.coalesce(F.col("_made")["text"], text).alias("text") if c == "text" else F.col(c) for c in docs.columns if c in (*other, "text")],
-        F.coalesce(F.col("_made")["kinds"], F.array().cast("array<string>")).alias("pii_kinds"),
+        *[F.coalesce(F.col(new)["text"], text).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "pii_kinds"],
+        F.coalesce(F.col(new)["kinds"], F.array().cast("array<string>")).alias("pii_kinds"),
     )
 
 
@@ -236,6 +236,10 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: pseudonyms in ``text``; every row stays, in the columns of *docs* (n_chars still fits: lengths may change only for IPv4)."""
+    """Pipeline stage: pseudonyms in ``text``; every row stays, in the columns of *docs*; n_chars is counted anew."""
     columns = docs.columns
-    return pseudonymize(docs).select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    own = common.fresh("_row", columns)
+    rest = F.struct(*[F.col(c) for c in columns if c != "text"]).alias(own)
+    made = pseudonymize(docs.select(rest, "text")).select(F.col(own), "text")
+    length = F.length("text").cast("bigint")
+    return made.select(*[F.col("text") if c == "text" else length.alias(c) if c == "n_chars" else F.col(own)[c].alias(c) for c in columns])

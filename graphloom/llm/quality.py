@@ -226,7 +226,8 @@ def quality_statistics(docs: DataFrame) -> DataFrame:
     Null texts have no words and fail the base rule; null languages and sources form groups of their own; repeated
     rows are judged each; an empty table gives an empty result; other columns pass through.
     """
-    names = docs.columns
+    made = {*STATS, "n_lines", "n_capitals", "g_lang", "g_source", *(f"x{i}" for i in range(P))}
+    names = [c for c in docs.columns if c not in made]  # columns of the new names are replaced
     known = lambda c: F.coalesce(F.col(c), F.lit("\x00")) if c in names else F.lit("")
     stats = text_statistics(docs.select(*names, known("lang").alias("g_lang"), known("source").alias("g_source")))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
@@ -263,6 +264,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows that pass, in the columns of *docs*."""
-    columns = docs.columns
-    stats = common.materialize(quality_statistics(docs), "quality")
-    return judge(stats).filter("kept").select(*columns)
+    packed = docs.select(F.struct("*").alias("_row"), "text", "lang", "source")
+    stats = common.materialize(quality_statistics(packed), "quality")
+    return judge(stats).filter("kept").select("_row.*")

@@ -108,22 +108,26 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """*docs* (with ``text``) plus ``base_spans`` and ``spans``: arrays of (start, rank, end, kind), code points.
 
     A null or empty text has no spans.  An entropy span is added unless it overlaps a base span.  Rows stay rows:
-    repeated rows are scanned each, an empty table stays empty, other columns pass through.
+    repeated rows are scanned each, an empty table stays empty, other columns pass through (columns of the two
+    new names are replaced).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    other = [c for c in docs.columns if c not in ("base_spans", "spans")]
+    parts, base = common.fresh("_parts", docs.columns), common.fresh("_base", docs.columns)
     found = docs.select(
-        "*",
-        F.filter(common.spans_of(text, ASSIGN, 2), lambda s: F.length(s["part"]) >= ASSIGN_PART).alias("_assign"),
-        common.spans_of(text, ACCESS).alias("_access"),
-        common.spans_of(text, HEX).alias("_hex"),
-        entropy_spans(text).alias("_entropy"),
+        *other,
+        F.struct(
+            F.filter(common.spans_of(text, ASSIGN, 2), lambda s: F.length(s["part"]) >= ASSIGN_PART).alias("assign"),
+            common.spans_of(text, ACCESS).alias("access"),
+            common.spans_of(text, HEX).alias("hex"),
+            entropy_spans(text).alias("entropy"),
+        ).alias(parts),
     )
-    rows_of = lambda kind: F.transform(F.col(f"_{kind}"), lambda s: _row(kind, s["start"], s["end"]))
-    base = F.concat(*map(rows_of, KINDS[:3]))
-    found = found.withColumn("base_spans", base)
-    fresh = F.filter(F.col("_entropy"), lambda e: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    spans = F.concat(F.col("base_spans"), F.transform(fresh, lambda e: _row("entropy", e["start"], e["end"])))
-    return found.withColumn("spans", spans).drop(*[f"_{k}" for k in KINDS])
+    rows_of = lambda kind: F.transform(F.col(parts)[kind], lambda s: _row(kind, s["start"], s["end"]))
+    found = found.select("*", F.concat(*map(rows_of, KINDS[:3])).alias(base))
+    new = F.filter(F.col(parts)["entropy"], lambda e: ~F.exists(F.col(base), lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    spans = F.concat(F.col(base), F.transform(new, lambda e: _row("entropy", e["start"], e["end"])))
+    return found.select(*other, F.col(base).alias("base_spans"), spans.alias("spans"))
 
 
 def secret_digests(scanned: DataFrame) -> DataFrame:
