@@ -10,7 +10,7 @@ from .functions import text as T
 from .operators import chunking, dedup, extraction, retrieval, sections
 from .plans import analytics
 from .plans.graph import Graph, collapse, merge, rewrite, sanitize_predicate, sink_edges
-from .sources import sinks
+from .sources import readers, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -378,8 +378,9 @@ def extract_rule_entities(spark, sf):
 
 @query()
 def extract_rule_graph(spark, sf):
-    """Cache-through extraction over documents with the offline rule adapters; held against direct calls in the tests."""
-    chunks = X.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    """Cache-through extraction over chunked documents with the offline rule adapters; held against direct calls in the tests."""
+    chunks = chunking.chunk_documents(X.table(spark, sf, "documents").select("doc_id", "text"), readers.Config().chunk_size)
+    chunks = chunks.select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "text")
     graph, _ = extraction.extract(chunks, spark.createDataFrame([], "key string, value string"))
     return graph.triples
 
