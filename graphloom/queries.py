@@ -287,10 +287,11 @@ def vec_dedup_greedy(spark, sf):
 
 @query()
 def vec_assign_capacity(spark, sf):
-    """Three fixed centres of capacity 100; held against a sequential version in the tests."""
-    e = X.table(spark, sf, "embeddings")
-    centers = e.filter("vec_id < 3").select(F.col("vec_id").cast("int").alias("cluster"), F.col("embedding").cast("array<double>").alias("center"))
-    return dedup.assign_with_capacity(e.withColumn("embedding", F.col("embedding").cast("array<double>")), centers, 100, "vec_id")
+    """Balanced clusters of up to 128 around one k-means centre per 128 rows; held against a sequential version in the tests."""
+    e = X.table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    n = e.count()
+    centers = dedup.kmeans_centers(e, max(1, n // 128)) if n else spark.createDataFrame([], "cluster int, center array<double>")
+    return dedup.assign_with_capacity(e, centers, 128, "vec_id")
 
 
 _HYBRID = f"""{_BM25}, {_COS}, best as (select query_id, max(bm25) as top from bm group by 1),

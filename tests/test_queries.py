@@ -1,7 +1,9 @@
 import json
 
+import numpy as np
+
 from graphloom import queries
-from graphloom.operators import chunking, extraction
+from graphloom.operators import chunking, dedup, extraction
 from graphloom.sources import readers
 
 
@@ -20,3 +22,23 @@ def test_rule_graph_caps_names_per_chunk(spark, tmp_path):
         expect |= {(r["subject"], r["object"]) for r in json.loads(extraction.rule_relations(chunk, names))["relations"]}
     assert got == expect
     assert {(name(i), name(i + 1)) for i in range(320)} <= got
+
+
+def test_capacity_clusters_cover_the_table(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 1, (300, 4)), rng.normal(6, 1, (110, 4))]).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.item: r.cluster for r in queries.vec_assign_capacity(spark, str(tmp_path)).collect()}
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id", "cast(embedding as array<double>) as embedding")
+    centers = [r.center for r in dedup.kmeans_centers(e, 3).orderBy("cluster").collect()]
+    assert len(centers) == 410 // 128
+    d = np.round(np.sqrt(((x.astype(np.float64)[:, None] - np.array(centers)) ** 2).sum(2)), 9)
+    order, load, expect = np.argsort(d, axis=1, kind="stable"), [0] * 3, {}
+    for r in range(3):
+        for i in range(len(x)):
+            k = int(order[i, r])
+            if i not in expect and load[k] < 128:
+                expect[i] = k
+                load[k] += 1
+    assert got == {i: expect.get(i, 3) for i in range(len(x))}
+    assert sum(c < 3 for c in got.values()) == 384
