@@ -224,9 +224,9 @@ def test_chi2():
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
 
-@pytest.mark.parametrize("bucket", [2, 48])
-def test_similarity_classes(spark, monkeypatch, bucket):
-    monkeypatch.setattr(similar, "BUCKET", bucket)
+@pytest.mark.parametrize("few", [1, 24])
+def test_similarity_classes(spark, monkeypatch, few):
+    monkeypatch.setattr(similar, "FEW", few)
     base = [prose(120) for _ in range(6)]
     texts = [b for b in base] + [edited(b, s) for b in base for s in (0.005, 0.01, 0.02, 0.03)] + [base[0], base[0].upper(), None, "", "a b", "a b c"]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(0, texts[0], "k")], "doc_id long, text string, text_key string")
