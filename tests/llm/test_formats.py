@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,8 +34,21 @@ def test_simple8b_many_blocks():
 @given(text=st.text(alphabet=st.sampled_from(list("ab'sé1.Σ \n\t 　́\x00\x01\x1c\x85|<")), max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_cached_ids_are_the_tokenizers(name, text):
-    e = encoder(public_tokenizers.path(name))
-    assert e.ids(text) == e.encode(text)
+    path = public_tokenizers.path(name)
+    plain = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert encoder(path).ids(text) == plain
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_whole_table_has_the_tokenizers_ids(name):
+    """Every text of a table, its special tokens as the file has them, against the plain library."""
+    path = public_tokenizers.path(name)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()
+    texts += [t.replace("a", "<|endoftext|>", 1) for t in texts[:20]] + ["Ünïcode ÀÉ. ß, ÷×\nªº\n\nx", "<|endoftext|>", "a <|endoftext|>\nb", "\nStart.\nÉtat!?... 12\n's"]
+    tokenizer = Tokenizer.from_file(path)
+    plain = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(encoder(path).ids_of(texts)) == plain
+    assert any(b"<|endoftext|>" in t.encode() for t in texts)
 
 
 def test_token_files(spark, tmp_path):
@@ -44,7 +58,6 @@ def test_token_files(spark, tmp_path):
     token_files.write_token_files(docs, path, tok, segment_ids=500)
     got = sorted(tuple(r)[:4] for r in token_files.token_digests(spark, path).collect())
     t = Tokenizer.from_file(tok)
-    t.encode_special_tokens = True
     start, expect = 0, []
     for d, text in sorted(EDGE, key=lambda r: (r[0], r[1] or "")):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
@@ -60,7 +73,6 @@ def test_packing(spark):
     docs = spark.createDataFrame(EDGE, "doc_id long, text string").filter("doc_id <> 1")
     rows = packing.pack(docs, tok, capacity=64, group_ids=1000).collect()
     t = Tokenizer.from_file(tok)
-    t.encode_special_tokens = True
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
