@@ -22,6 +22,9 @@ def edited(text: str, share: float, rng=RNG) -> str:
     return " ".join(rng.choice(WORDS) if rng.random() < share else w for w in text.split(" "))
 
 
+BLOT = "\x01"
+
+
 def brute_secrets(t):
     t, out = t or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
@@ -29,8 +32,17 @@ def brute_secrets(t):
             out.append((m.start(), 0, m.end(), "assign"))
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
     out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
-    base = list(out)
-    for m in re.finditer("[A-Za-z0-9+/_=-]+", t):
+    base, masked = list(out), t
+    for rank, rests in ((0, "AKIA[A-Z0-9]*(?=\x01)"), (1, None), (2, "(?<=\x01)[0-9a-f]+|[0-9a-f]+(?=\x01)")):
+        left = list(masked)
+        for x, r, z, _ in base:
+            if r == rank:
+                left[x:z] = BLOT * (z - x)
+        masked = "".join(left)
+        if rests:  # what is left of a run that another match cut
+            masked = re.sub(rests, lambda m: BLOT * len(m[0]), masked)
+    masked = re.sub(r"(?:/[a-z_]+){3}[a-z_/]*|(?i:example|sample|placeholder|abcdefgh|01234567)|([A-Za-z0-9+/_=-])\1{7,}", lambda m: BLOT * len(m[0]), masked)
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", masked):
         c = m[0]
         if len(c) < 20 or any(re.search(a, c) for a in secrets.ALLOW):
             continue
@@ -38,23 +50,33 @@ def brute_secrets(t):
         most = int((math.log2(20) - bits) * 20 * secrets._ONE)
         hot = [i for i in range(20, len(c) + 1) if sum(secrets._CLOGC[n] for n in Counter(c[i - 20 : i]).values()) <= most]
         if hot:
-            a, z = m.start() + hot[0] - 20, m.start() + hot[-1]
-            if not any(x[0] < z and a < x[2] for x in base):
-                out.append((a, 3, z, "entropy"))
+            out.append((m.start() + hot[0] - 20, 3, m.start() + hot[-1], "entropy"))
     join = lambda spans: ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(spans))
     n = Counter(k for *_, k in out)
     return n["assign"], n["access"], n["hex"], hashlib.sha256(join(base).encode()).hexdigest(), join(out)
 
 
 def test_secrets(spark):
-    parts = ["token", "=", ": ", '"', "password", "AKIA", "ABCDEFGH0123456789", "0123456789abcdef", "x9", "Zq8+/_-", "é", "𝄞", " ", "\n", "SECRET", "secret", "kX92mPq0ZrT5vBn8LwYc3"]
+    parts = ["token", "=", ": ", '"', "password", "AKIA", "ABCDEFGH0123456789", "0123456789abcdef", "x9", "Zq8+/_-", "é", "𝄞", " ", "\n", "SECRET", "secret", "kX92mPq0ZrT5vBn8LwYc3", "example", "/usr/lib/py", "AAAAAAAAA"]
+    long = "".join(RNG.choice("abcdefghij0123456789XYZ+/") for _ in range(3000))
     texts = ["".join(RNG.choice(parts) for _ in range(RNG.randint(0, 30))) for _ in range(300)] + [None, "", "token = abcdefghijklm " * 400]
+    texts += [long, long[:237] + "a" * 30 + long, "/a" * 20_000 + "1", "x1" * 700 + long, "a" * 218 + long[:40]]
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in enumerate(texts)], "doc_id long, text string, spans int, _parts int")
     got = {r[0]: tuple(r)[1:6] for r in secrets.secret_digests(secrets.scan_secrets(df)).collect()}
     assert got == {i: brute_secrets(t) for i, t in enumerate(texts)}
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_of_a_megabyte(spark):
+    """One candidate of a megabyte and a path of 100,000 segments: neither time nor stack runs out."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP0123456789+_", k=1_000_000)), "/a" * 100_000 + "1", "a1B2" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(df).collect()}
+    (only,) = [s for s in got[0] if s.kind == "entropy"]
+    assert only.start < 20 and only.end > 999_900 and not got[1] and not got[2]
+
+
 def test_running_totals(spark):
     xs = [RNG.randint(0, 9) for _ in range(700)]
     df = spark.createDataFrame([(xs,), ([],)], "xs array<int>")
