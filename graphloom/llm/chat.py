@@ -103,23 +103,26 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _content(text: str | None, typed: bool):
-    return json.loads(text) if typed and text and text.startswith("[") else text
+def text_parts(conversations: DataFrame, name: str = "parts") -> DataFrame:
+    """*conversations* plus column *name*: each text as a list of one typed part, in JSON (null: an empty text)."""
+    part = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"))
+    return conversations.withColumn(name, F.to_json(F.array(part)))
 
 
-def format_chats(conversations: DataFrame, typed: bool = False) -> DataFrame:
+def format_chats(conversations: DataFrame, parts: str | None = None) -> DataFrame:
     """One row per conversation of ``conv_id, turn, role, text``, turns ascending (nulls first; ties by role, then text).
 
-    With *typed*, a text that starts with ``[`` holds JSON parts.  Null roles and texts are empty; repeated rows are
-    turns of their own; a null conv_id is a conversation; extra columns are ignored.
+    With *parts*, that column holds each turn's content as a JSON list of typed parts (null: the text is the content).
+    Null roles and texts are empty; repeated rows are turns of their own; a null conv_id is a conversation; extra columns
+    are ignored; an empty table gives an empty result.  A conversation is one row, however long.
     """
-    turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    grouped = conversations.groupBy("conv_id").agg(turns.alias("turns"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (F.col(parts) if parts else F.lit(None).cast("string")).alias("parts"))
+    grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def run(batches):
         for batch in batches:
             rows = [
-                {"conv_id": c, **format_conversation([(t["role"], _content(t["text"], typed)) for t in turns])}
+                {"conv_id": c, **format_conversation([(t["role"], t["text"] if t["parts"] is None else json.loads(t["parts"])) for t in turns])}
                 for c, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -140,7 +143,7 @@ _ARROW = pa.schema(
     ]
 )
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
@@ -148,26 +151,28 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            columns = [[], [], [], [], [], []]
-            for conv_id, text, starts, ends in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            columns = [[] for _ in range(8)]
+            for conv_id, text, starts, ends, attached, tokens in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 turns, whole, loss = parse(text), hashlib.sha256(), hashlib.sha256()
                 for role, said in turns:
                     whole.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
                 masked = [unescape(text[a:b]) for a, b in zip(starts, ends)]
                 loss.update("".join(masked).encode("utf-8", "surrogatepass"))
-                for c, x in zip(columns, (conv_id, len(turns), whole.hexdigest(), sum(map(len, masked)), loss.hexdigest(), len(text))):
+                if len(PLACEHOLDER.findall(text)) != len(attached):
+                    raise ValueError("placeholders and attachments differ")
+                for c, x in zip(columns, (conv_id, len(turns), whole.hexdigest(), sum(map(len, masked)), loss.hexdigest(), len(text), len(attached), tokens)):
                     c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "expanded_tokens"])
 
-    return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(run, DIGESTS)
+    return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends", "attachments", "expanded_tokens").mapInArrow(run, DIGESTS)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     chats = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat_digests(format_chats(chats))
+    return chat_digests(format_chats(text_parts(chats), "parts"))
 
 
 OP5_SQL = """
@@ -182,5 +187,6 @@ select conv_id, count(*)::bigint as n_turns,
   sum(18 + length(role) + length(text)
       + length(regexp_replace(text, '[^' || chr(9243) || ']', '', 'g'))
       + length(text) - length(regexp_replace(text, '<([|/s])', '\\1', 'g'))
-      + len(regexp_extract_all(text, '\\[/?[A-Z]')))::bigint as formatted_chars
+      + len(regexp_extract_all(text, '\\[/?[A-Z]')))::bigint as formatted_chars,
+  0::bigint as n_attachments, 0::bigint as expanded_tokens
 from t group by conv_id"""

@@ -1,10 +1,10 @@
 """Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming blocks, exact verification.
 
-A window is as many words as a benchmark item.  Only windows that share a shingle with an item can reach the
-similarity, so fingerprints are taken around such shingles alone (running sums of the bit counts give each window's
-in constant time).  The index splits item fingerprints into blocks; a fingerprint within *radius* bits of an item is within
+A window is as many words as a benchmark item.  Only windows that share a shingle with an item of their length can reach
+the similarity, so the others are not fingerprinted (running sums of the bit counts give each window's in constant time).
+The index splits item fingerprints into blocks; a fingerprint within *radius* bits of an item is within
 radius/blocks bits of it in some block, so looking up all block values that near finds every item within the radius.
-What is found is verified by the exact weighted-shingle (multiset) similarity.
+These are the candidates; the exact weighted-shingle (multiset) similarity verifies them.
 
 The benchmark is read in slices of bounded size, each broadcast to one pass over the documents.
 """
@@ -24,12 +24,15 @@ from .simhash import fingerprint
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 about 10 of 64 bits differ, 3 being one standard deviation.
-RADIUS = 20
+#: At similarity 0.8 about 10 of 64 bits differ, 3 being one standard deviation.  23 is what lookups within two bits of eight blocks guarantee.
+RADIUS = 23
 BLOCKS = 8
 #: Characters of benchmark text that one pass broadcasts.
 SLICE_CHARS = 16_000_000
 
+#: Window starts fingerprinted at a time: bounds the memory of a text of any length.
+_STRETCH = 4096
+
 HITS = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 
 
@@ -89,7 +92,7 @@ class BenchmarkIndex:
         self.shingle, self.similarity = shingle, similarity
         self.ids, self.weights, self.lengths, fps = [], [], [], []
         self.vocabulary: dict[bytes, int] = {}
-        self.holders: dict[bytes, set[int]] = {}
+        self.holders: dict[bytes, set[int]] = {}  # shingle -> lengths of the items that hold it
         self.shortest = shingle
         for item_id, text in items:
             words = _words(text)
@@ -97,7 +100,7 @@ class BenchmarkIndex:
                 continue
             shingles = _shingles(words, shingle)
             for s in shingles:
-                self.holders.setdefault(s, set()).add(len(self.ids))
+                self.holders.setdefault(s, set()).add(len(words))
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
             self.shortest = min(self.shortest, len(words))
@@ -107,47 +110,53 @@ class BenchmarkIndex:
             fps.append(fingerprint(_hashes(shingles)))
         self.hamming = HammingIndex(np.array(fps, dtype=np.uint64), radius)
 
-    def anchors(self, words: list[bytes]) -> dict[int, list[int]]:
-        """Item -> word positions of the shingles that it shares with the text."""
+    def anchors(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+        """Item length -> merged ranges of window starts that take in a shingle shared with an item of that length."""
         known = np.fromiter(map(self.vocabulary.__contains__, words), dtype=bool, count=len(words))
-        found: dict[int, list[int]] = {}
+        found: dict[int, list[tuple[int, int]]] = {}
         size = min(self.shingle, len(words))
         if not size or not known.any():
             return found
         runs = np.concatenate([[0], np.cumsum(known)])
-        for size in {size, *(n for n in range(self.shortest, self.shingle) if n < len(words))}:
+        for size in sorted({size, *(n for n in range(self.shortest, self.shingle) if n < len(words))}):
             for at in np.flatnonzero(runs[size:] - runs[:-size] == size).tolist():
-                for item in self.holders.get(b" ".join(words[at : at + size]), ()):
-                    found.setdefault(item, []).append(at)
+                for full in self.holders.get(b" ".join(words[at : at + size]), ()):
+                    length = min(full, len(words))
+                    first, last = max(0, at - length + min(size, length)), min(at, len(words) - length)
+                    ranges = found.setdefault(full, [])
+                    if ranges and first <= ranges[-1][1] + 1 and first >= ranges[-1][0]:
+                        ranges[-1] = (ranges[-1][0], max(last, ranges[-1][1]))
+                    elif first <= last:
+                        ranges.append((first, last))
         return found
 
     def hits(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        """(item_id, start word, words, similarity) of each item that some window holds."""
+        """(item_id, start word, words, similarity) of each item that some window holds: its closest window by fingerprint that verifies."""
         words = _words(text)
-        out = []
-        for item, at in self.anchors(words).items():
-            length = min(self.lengths[item], len(words))
+        candidates: dict[int, list[tuple[int, int]]] = {}
+        for full, ranges in self.anchors(words).items():
+            length = min(full, len(words))
             size = min(self.shingle, length)
-            starts = np.unique(np.concatenate([np.arange(max(0, a - length + size), min(a, len(words) - length) + 1) for a in at]))
-            candidates = []
-            # stretches of neighbouring starts share their running sums
-            for group in np.split(starts, np.flatnonzero(np.diff(starts) > length) + 1):
-                first, last = int(group[0]), int(group[-1])
-                shingles = _shingles(words[first : last + length], size)
-                bits = np.unpackbits(_hashes(shingles).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                sums = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-                per = length - size + 1
-                fps = np.packbits((sums[group - first + per] - sums[group - first]) * 2 > per, axis=1, bitorder="little").view("<u8")[:, 0]
-                near: dict[int, int] = {}
-                for fp in np.unique(fps).tolist():
-                    for d, i in self.hamming.query(fp):
-                        if i == item:
-                            near[fp] = d
-                candidates += [(near[fp], s) for fp, s in zip(fps.tolist(), group.tolist()) if fp in near]
-            for _, s in sorted(candidates):
-                alike = weighted_similarity(Counter(_shingles(words[s : s + length], self.shingle)), self.weights[item])
-                if alike >= self.similarity:
-                    out.append((self.ids[item], s, length, alike))
+            per = length - size + 1
+            for first, last in ranges:
+                for low in range(first, last + 1, _STRETCH):
+                    high = min(last, low + _STRETCH - 1)
+                    shingles = _shingles(words[low : high + length], size)
+                    bits = np.unpackbits(_hashes(shingles).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    sums = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+                    fps = np.packbits((sums[per:] - sums[:-per]) * 2 > per, axis=1, bitorder="little").view("<u8")[:, 0]
+                    near = {fp: self.hamming.query(fp) for fp in set(fps.tolist())}
+                    for s, fp in enumerate(fps.tolist(), low):
+                        for d, i in near[fp]:
+                            if self.lengths[i] == full:
+                                candidates.setdefault(i, []).append((d, s))
+        out = []
+        for i, met in candidates.items():
+            length, weights = min(self.lengths[i], len(words)), self.weights[i]
+            for _, s in sorted(set(met)):
+                window = Counter(_shingles(words[s : s + length], self.shingle))
+                if weighted_similarity(window, weights) >= self.similarity:
+                    out.append((self.ids[i], s, length, weighted_similarity(window, weights)))
                     break
         return out
 
@@ -166,7 +175,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: one row for each document row and item that it holds.
 
     Null or empty texts and items hold nothing; equal items are each reported; a text shorter than an item is
-    one window; repeated document rows are reported each; extra columns are ignored.
+    one window; repeated document rows are reported each; extra columns are ignored; an empty table of either kind gives an
+    empty result; texts of any length are read whole, fingerprints in stretches of bounded size.
     """
     spark = docs.sparkSession
     found = None
@@ -185,7 +195,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of *docs* that hold no item, all columns kept; no row is moved."""
+    """The rows of *docs* that hold no item, all columns kept; no row is moved.  Rows of null or empty text stay."""
     for index in _slices(docs.sparkSession, items):
         at = docs.columns.index("text")
 

@@ -1,3 +1,4 @@
+import json
 import math
 import re
 import zlib
@@ -127,6 +128,25 @@ def test_chat_tables(spark):
     got = {r.conv_id: r for r in chat.chat_digests(chat.format_chats(df)).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == 2 and got[None].n_turns == 1
     assert chat.chat_digests(chat.format_chats(df.limit(0))).count() == 0
+    # texts as typed parts come out the same, and a text that looks like JSON or a placeholder stays a text
+    odd = spark.createDataFrame([(1, 0, "user", '[{"type": "image"}] <|image:0|>'), (1, 1, "assistant", "[")], "conv_id long, turn long, role string, text string")
+    plain, typed = (chat.chat_digests(chat.format_chats(*x)).collect() for x in ((odd,), (chat.text_parts(odd), "parts")))
+    assert plain == typed and plain[0].n_attachments == 0
+
+
+def test_chat_attachments(spark):
+    parts = [
+        [{"type": "text", "text": "see </s>"}, {"type": "image", "ref": "a.png", "width": 57, "height": 28}, {"type": "document", "url": "d.pdf", "pages": 3}],
+        [{"type": "audio", "ref": "x.wav", "seconds": 2}, {"type": "text", "text": "heard"}],
+    ]
+    rows = [(7, 0, "user", "", json.dumps(parts[0])), (7, 1, "assistant", "", json.dumps(parts[1])), (8, 0, "user", "plain", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, p string")
+    made = chat.format_chats(df, "p")
+    got = {r.conv_id: r for r in made.collect()}
+    assert [(a.turn, a.kind, a.ref, a.tokens) for a in got[7].attachments] == [(0, "image", "a.png", 3), (0, "document", "d.pdf", 1536), (1, "audio", "x.wav", 25)]
+    digests = {r.conv_id: r for r in chat.chat_digests(made).collect()}
+    assert digests[7].n_attachments == 3 and digests[7].expanded_tokens == 3 + 1536 + 25 and digests[8].n_attachments == 0
+    assert digests[7].loss_chars == len("<|audio:2|>heard")
 
 
 def test_patience_alignment():

@@ -267,3 +267,31 @@ def test_components_of_a_long_path(spark):
     for n, c in components.components(links, "a", "b").collect():
         got[c].add(n)
     assert got == {0: set(range(201)), 900: {900, 901}}
+
+
+def test_hamming_blocks_find_all_windows():
+    """The radius loses no window: with every item a candidate for every window, the hits are the same."""
+    import pyarrow.parquet as pq
+
+    read = lambda name, *c: [tuple(r.values()) for r in pq.read_table(f"/root/testdata/sf0.01/{name}.parquet", columns=list(c)).to_pylist()]
+    index = decontaminate.BenchmarkIndex(read("benchmark", "item_id", "text"))
+    texts = [t for _, t in read("documents", "doc_id", "text")]
+    found = [{h[0] for h in index.hits(t)} for t in texts]
+
+    class All:
+        query = staticmethod(lambda fp: [(0, i) for i in range(len(index.ids))])
+
+    index.hamming = All()
+    assert found == [{h[0] for h in index.hits(t)} for t in texts] and sum(map(bool, found)) > 10
+
+
+def test_decontamination_of_long_and_repetitive_texts(spark):
+    item = prose(60)
+    bench = spark.createDataFrame([(1, item), (2, "la " * 50), (3, item)], "item_id long, text string")
+    texts = [prose(20_000) + " " + item + " " + prose(20_000), "la " * 60_000, prose(30_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(df, bench).collect()} == {(0, 1), (0, 3), (1, 2)}
+    assert decontaminate.contamination(df.limit(0), bench).count() == 0 and decontaminate.contamination(df, bench.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "1 as item_id", "2 as similarity")
+    kept = decontaminate.remove_contaminated(clash, bench)
+    assert kept.columns == clash.columns and [r.doc_id for r in kept.collect()] == [2]
