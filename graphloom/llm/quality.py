@@ -1,10 +1,11 @@
 """Quality rules: fixed base rules and robust multivariate outliers, with DataFrame functions only.
 
 Each text gives a vector of transformed rates.  Per (language, source) the minimum covariance determinant is sought
-by concentration steps from a deterministic start (coordinate medians and MADs): each step keeps the rows of
-smallest Mahalanobis distance and takes their mean and covariance.  Rows are summarised per group with partial
-aggregation, so a source that holds most rows is no hot task.  Groups with few rows use their language's estimate,
-or all rows' estimate.
+by concentration steps from three deterministic starts (coordinate medians with MADs, medians with the floors alone, all
+rows' mean and covariance): each step keeps the rows of smallest Mahalanobis distance and takes their mean and covariance,
+and the start that ends with the smallest determinant is taken.  Rows are summarised per group with partial
+aggregation, so a source that holds most rows is no hot task.  Every group's estimate is pooled with its language's, and
+that with all rows', as if PRIOR rows of the wider one were added; so few rows give a wide estimate, without a switch.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ FEATURES = (("word_length", 0.15), ("symbols", 0.2), ("dup_lines", 0.12), ("repe
 UNIT = 1000  # features are whole thousandths, so sums are exact and independent of row order
 SUPPORT = 0.75  # share of rows in the concentrated subset
 STEPS = 3
-MIN_GROUP = 200
+STARTS = 3
+PRIOR = 50  # rows of the wider estimate that each estimate is pooled with
 #: Chance that a row of a normal population is rejected; rules must keep clean texts.
 TAIL = 1e-6
 #: Groups of estimates that may be broadcast (each about 200 bytes); beyond that the join is salted.
 BROADCAST_GROUPS = 20_000
 SALTS = 32
 P = len(FEATURES)
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 KEYS = ["level", "g_lang", "g_source"]
 
 
@@ -158,8 +161,8 @@ def _squared_distance() -> Column:
     return sum(parts[1:], parts[0])
 
 
-def _factor(groups: DataFrame) -> DataFrame:
-    """From n, means m*, covariances c*: the inverse Cholesky factor of the floored covariance, unrolled."""
+def _factor(groups: DataFrame, *keep: str) -> DataFrame:
+    """From means m*, covariances c*: the inverse Cholesky factor of the floored covariance, unrolled, and its log determinant."""
     for i in range(P):
         for j in range(i + 1):
             value = F.col(f"c{i}{j}") + (FEATURES[i][1] ** 2 if i == j else 0.0)
@@ -176,94 +179,121 @@ def _factor(groups: DataFrame) -> DataFrame:
                     value = value - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
                 value = value / F.col(f"l{i}{i}")
             groups = groups.withColumn(f"w{i}{j}", value)
-    names = [f"m{i}" for i in range(P)] + [f"w{i}{j}" for i in range(P) for j in range(i + 1)]
-    return groups.select(*KEYS, "n", *names)
+    det = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log("l00"))
+    return groups.select(*keep, *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS), det.alias("det"))
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """Centre and inverse Cholesky factor per group of *rows* (g_lang, g_source, x0..): the concentration steps."""
-    levels = _levels(rows)
-    medians = levels.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(f"x{i}", F.lit(0.5)).alias(f"d{i}") for i in range(P)])
+def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """h, means m* and covariances c* per group; sums of whole numbers are exact."""
+    exact = lambda x: F.sum(x.cast("decimal(30,0)")).cast("double")
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("h"), *[exact(F.col(f"x{i}")).alias(f"s{i}") for i in range(P)], *[exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]
+    )
+    mean = lambda i: F.col(f"s{i}") / F.col("h") / UNIT
+    return sums.select(
+        *keys, "h", *[mean(i).alias(f"m{i}") for i in range(P)], *[(F.col(f"s{i}{j}") / F.col("h") / (UNIT * UNIT) - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in PAIRS]
+    )
+
+
+def _starts(levels: DataFrame) -> DataFrame:
+    """start, KEYS, m*, c*: the three starts of each group."""
+    medians = levels.groupBy(*KEYS).agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"d{i}") for i in range(P)])
     medians = common.materialize(medians, "medians")
-    n_groups = medians.count()
-    near = _join_groups(levels, medians, n_groups, KEYS)
+    near = _join_groups(levels, medians, medians.count(), KEYS)
     spread = near.groupBy(*KEYS).agg(
-        F.first("n").alias("n"), *[F.first(f"d{i}").alias(f"d{i}") for i in range(P)], *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"d{i}")), F.lit(0.5)).alias(f"s{i}") for i in range(P)]
+        *[F.first(f"d{i}").alias(f"d{i}") for i in range(P)], *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"d{i}")), F.lit(0.5)).alias(f"s{i}") for i in range(P)]
     )
-    start = spread.select(
-        *KEYS,
-        "n",
-        *[(F.col(f"d{i}") / UNIT).alias(f"m{i}") for i in range(P)],
-        *[((F.pow(1.4826 * F.col(f"s{i}") / UNIT, F.lit(2.0))) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)],
+    centre = [(F.col(f"d{i}") / UNIT).alias(f"m{i}") for i in range(P)]
+    mad = [(F.pow(1.4826 * F.col(f"s{i}") / UNIT, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    none = [F.lit(0.0).alias(f"c{i}{j}") for i, j in PAIRS]
+    whole = _sums(levels, KEYS).drop("h")
+    spread = common.materialize(spread, "spread")
+    return (
+        spread.select(F.lit(0).alias("start"), *KEYS, *centre, *mad)
+        .unionByName(spread.select(F.lit(1).alias("start"), *KEYS, *centre, *none))
+        .unionByName(whole.select(F.lit(2).alias("start"), "*"))
     )
-    groups = common.materialize(_factor(start), "estimates")
+
+
+def minimum_determinants(rows: DataFrame) -> DataFrame:
+    """KEYS, h, m*, c* per group of *rows* (g_lang, g_source, x0..): of the starts, the one whose last step has the smallest determinant."""
+    levels, keys = _levels(rows), ["start", *KEYS]
+    groups = common.materialize(_factor(_starts(levels), *keys), "estimates")
+    n_groups = groups.count()
+    moments = None
     for _ in range(STEPS):
         # distances in steps of 1/64 octave: few values, so exact percentiles need little memory
-        near = _join_groups(levels, groups, n_groups, KEYS).withColumn("q", F.floor(F.log2(F.lit(1.0) + _squared_distance()) * 64).cast("bigint"))
-        limit = common.materialize(near.groupBy(*KEYS).agg(F.percentile("q", F.lit(SUPPORT)).alias("most")), "limits")
-        kept = _join_groups(near, limit, n_groups, KEYS).filter(F.col("q") <= F.col("most"))
-        exact = lambda x: F.sum(x.cast("decimal(30,0)")).cast("double")
-        sums = kept.groupBy(*KEYS).agg(
-            F.first("n").alias("n"),
-            F.count(F.lit(1)).alias("h"),
-            *[exact(F.col(f"x{i}")).alias(f"s{i}") for i in range(P)],
-            *[exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)],
-        )
-        mean = lambda i: F.col(f"s{i}") / F.col("h") / UNIT
-        moments = sums.select(
-            *KEYS,
-            "n",
-            *[mean(i).alias(f"m{i}") for i in range(P)],
-            *[(CONSISTENCY * (F.col(f"s{i}{j}") / F.col("h") / (UNIT * UNIT) - mean(i) * mean(j))).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)],
-        )
-        groups = common.materialize(_factor(moments), "estimates")
-    return groups
-
-
-def quality_statistics(docs: DataFrame) -> DataFrame:
-    """*docs* (doc_id, text, lang, source, ...) plus the statistics, base_failed and the feature vector.
-
-    Null texts have no words and fail the base rule; null languages and sources form groups of their own; repeated
-    rows are judged each; an empty table gives an empty result; other columns pass through.
+        dealt = levels.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(STARTS)])))
+        near = _join_groups(dealt, groups, n_groups, keys).withColumn("q", F.floor(F.log2(F.lit(1.0) + _squared_distance()) * 64).cast("bigint"))
+        limit = common.materialize(near.groupBy(*keys).agg(F.percentile("q", F.lit(SUPPORT)).alias("most")), "limits")
+        kept = _join_groups(near, limit, n_groups, keys).filter(F.col("q") <= F.col("most"))
+        scaled = [(CONSISTENCY * F.col(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in PAIRS]
+        moments = common.materialize(_sums(kept, keys).select(*keys, "h", *[f"m{i}" for i in range(P)], *scaled), "moments")
+        groups = common.materialize(_factor(moments, *keys), "estimates")
+    values = ["h", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS)]
+    ended = moments.join(groups.select(*keys, F.round("det", 9).alias("det")), keys)
+    best = ended.groupBy(*KEYS).agg(F.min(F.struct("det", "start", *values)).alias("best"))
+    return best.select(*KEYS, *(f"best.{v}" for v in values))
+
+
+def _pooled(groups: DataFrame, means: list[Column], covariances: dict[tuple[int, int], Column]) -> DataFrame:
+    """KEYS, m*, c* of *groups*, each with PRIOR rows of a wider population of these moments added."""
+    own, wide = F.col("h") / (F.col("h") + PRIOR), F.lit(float(PRIOR)) / (F.col("h") + PRIOR)
+    apart = [F.col(f"m{i}") - means[i] for i in range(P)]
+    return groups.select(
+        *KEYS,
+        *[(own * F.col(f"m{i}") + wide * means[i]).alias(f"m{i}") for i in range(P)],
+        *[(own * F.col(f"c{i}{j}") + wide * covariances[i, j] + own * wide * apart[i] * apart[j]).alias(f"c{i}{j}") for i, j in PAIRS],
+    )
+
+
+def robust_estimates(rows: DataFrame) -> DataFrame:
+    """g_lang, g_source, centre m* and inverse Cholesky factor w* per group of *rows* (g_lang, g_source, x0..)."""
+    best = common.materialize(minimum_determinants(rows), "determinants")
+    top = best.filter("level = 2").first()  # one row
+    get = lambda name: F.lit(top[name] if top else 0.0)
+    langs = _pooled(best.filter("level = 1"), [get(f"m{i}") for i in range(P)], {(i, j): get(f"c{i}{j}") for i, j in PAIRS})
+    wider = langs.select("g_lang", *[F.col(f"m{i}").alias(f"pm{i}") for i in range(P)], *[F.col(f"c{i}{j}").alias(f"pc{i}{j}") for i, j in PAIRS])
+    sources = best.filter("level = 0").join(wider, "g_lang")
+    pooled = _pooled(sources, [F.col(f"pm{i}") for i in range(P)], {(i, j): F.col(f"pc{i}{j}") for i, j in PAIRS})
+    return common.materialize(_factor(pooled, "g_lang", "g_source"), "estimates")
+
+
+def quality_statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Per row of *docs* (text, and lang and source if it has them): ``row`` (a struct of the columns *carry*), the statistics, base_failed, the feature vector.
+
+    Null and empty texts have no words and fail the base rule; texts of any length are read whole, by array functions
+    within a row; null languages and sources form groups of their own; repeated rows are judged each; an empty table gives
+    an empty result.  The input's columns are inside ``row``, so none clashes.
     """
-    made = {*STATS, "n_lines", "n_capitals", "g_lang", "g_source", *(f"x{i}" for i in range(P))}
-    names = [c for c in docs.columns if c not in made]  # columns of the new names are replaced
-    known = lambda c: F.coalesce(F.col(c), F.lit("\x00")) if c in names else F.lit("")
-    stats = text_statistics(docs.select(*names, known("lang").alias("g_lang"), known("source").alias("g_source")))
+    known = lambda c: F.coalesce(F.col(c), F.lit("\x00")) if c in docs.columns else F.lit("")
+    packed = docs.select(F.struct(*carry).alias("row"), "text", known("lang").alias("g_lang"), known("source").alias("g_source"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return stats.select("*", failed.alias("base_failed"), *_features())
+    return text_statistics(packed).drop("text").select("*", failed.alias("base_failed"), *_features())
 
 
 def judge(stats: DataFrame) -> DataFrame:
-    """Adds distance2 and kept (false if base_failed, else distance2 within CUTOFF) to the rows of :func:`quality_statistics`; *stats* is read several times."""
+    """Adds distance2 and kept (false if base_failed, else distance2 within CUTOFF) to the rows of :func:`quality_statistics`; *stats* is read several times.
+
+    A group without a row that passes the base rules has no estimate; its rows' distance2 is null.
+    """
     groups = robust_estimates(stats.filter(~F.col("base_failed")).select("g_lang", "g_source", *[f"x{i}" for i in range(P)]))
-    n_groups = groups.count()
-    sides = [f"m{i}" for i in range(P)] + [f"w{i}{j}" for i in range(P) for j in range(i + 1)]
-    packed = F.struct(*sides)
-    big = (F.col("n") >= MIN_GROUP) | (F.col("level") == 2)
-    out = stats
-    for level, keys in ((0, ["g_lang", "g_source"]), (1, ["g_lang"]), (2, [])):
-        part = groups.filter(big & (F.col("level") == level)).select(*keys, F.lit(level).alias(f"_k{level}"), packed.alias(f"_e{level}"))
-        # the last level is one row at most: a join on a constant
-        on = [*keys, f"_k{level}"]
-        out = _join_groups(out.withColumn(f"_k{level}", F.lit(level)), part, n_groups, on, "left").drop(f"_k{level}")
-    out = out.withColumn("_e", F.coalesce("_e0", "_e1", "_e2")).select("*", "_e.*")
-    out = out.withColumn("distance2", _squared_distance())
+    sides = [f"m{i}" for i in range(P)] + [f"w{i}{j}" for i, j in PAIRS]
+    out = _join_groups(stats, groups.select("g_lang", "g_source", *sides), groups.count(), ["g_lang", "g_source"], "left").withColumn("distance2", _squared_distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CUTOFF)
-    return out.withColumn("kept", kept).drop("_e", "_e0", "_e1", "_e2", *sides)
+    return out.withColumn("kept", kept).drop(*sides)
 
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    stats = common.materialize(quality_statistics(docs).drop("text"), "quality")
-    return judge(stats).select("doc_id", *STATS, "kept", "distance2")
+    docs = common.table(spark, sf_dir, "documents")
+    stats = common.materialize(quality_statistics(docs, ["doc_id"]), "quality")
+    return judge(stats).select("row.doc_id", *STATS, "kept", "distance2")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows that pass, in the columns of *docs*."""
-    packed = docs.select(F.struct("*").alias("_row"), "text", "lang", "source")
-    stats = common.materialize(quality_statistics(packed), "quality")
-    return judge(stats).filter("kept").select("_row.*")
+    stats = common.materialize(quality_statistics(docs, docs.columns), "quality")
+    return judge(stats).filter("kept").select("row.*")

@@ -211,8 +211,8 @@ def test_quality(spark):
     texts = good + junk + odd
     rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}", 9) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int")
-    stats = common.materialize(quality.quality_statistics(df).drop("text"), "t")
-    got = {r.doc_id: r for r in quality.judge(stats).collect()}
+    stats = common.materialize(quality.quality_statistics(df, ["doc_id", "n_words"]), "t")
+    got = {r["row"].doc_id: r for r in quality.judge(stats).collect()}
     for i, t in enumerate(texts):
         r, b = got[i], brute_statistics(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
@@ -223,23 +223,72 @@ def test_quality(spark):
     assert quality.keep_good(spark, df.limit(0), "").count() == 0
 
 
-def test_robust_distance_matches_numpy(spark):
+def test_quality_columns_do_not_clash(spark):
+    names = ["m0", "w00", "_text", "_words", "_lines", "_e0", "_k0", "x0", "q", "kept", "row", "g_lang", "start", "det", "n_words"]
+    columns = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names)
+    df = spark.createDataFrame([(1, prose(40), "en", "a", *range(15)), (2, "x", None, None, *range(15))], columns)
+    (r,) = quality.keep_good(spark, df, "").collect()
+    assert tuple(r)[4:] == tuple(range(15)) and r.__fields__[4:] == names
+    assert quality.keep_good(spark, df.select("doc_id", "text"), "").columns == ["doc_id", "text"]
+
+
+def brute_determinants(xs):
+    """Minimum covariance determinant of rows, by the same starts and steps in numpy: (h, centre, covariance)."""
+    x, floor = xs / quality.UNIT, np.diag([f**2 for _, f in quality.FEATURES])
+    median = np.median(xs, axis=0)
+    mad = np.diag((1.4826 * np.median(np.abs(xs - median), axis=0) / quality.UNIT) ** 2)
+    ends = []
+    for start, (centre, cov) in enumerate(((median / quality.UNIT, mad), (median / quality.UNIT, 0 * mad), (x.mean(0), np.cov(x.T, bias=True)))):
+        for _ in range(quality.STEPS):
+            z = np.linalg.solve(np.linalg.cholesky(cov + floor), (x - centre).T)
+            q = np.floor(np.log2(1 + (z**2).sum(0)) * 64)
+            near = x[q <= np.percentile(q, 75)]
+            centre, cov = near.mean(0), quality.CONSISTENCY * np.cov(near.T, bias=True)
+        ends.append((round(np.linalg.slogdet(cov + floor)[1] / 2, 9), start, len(near), centre, cov))
+    return min(ends, key=lambda e: e[:2])[2:]
+
+
+def test_kept_matches_numpy(spark):
+    """Groups of many, few and one rows, with outliers: every distance and verdict against numpy."""
     rng = np.random.default_rng(8)
-    xs = rng.integers(0, 1000, (400, quality.P))
-    df = spark.createDataFrame([("a", "b", *map(int, r)) for r in xs], "g_lang string, g_source string, " + ", ".join(f"x{i} long" for i in range(quality.P)))
-    est = [r for r in quality.robust_estimates(df).collect() if r.level == 0][0].asDict()
-    x = xs / quality.UNIT
-    floor = np.diag([f**2 for _, f in quality.FEATURES])
-    mad = np.median(np.abs(xs - np.median(xs, axis=0)), axis=0) / quality.UNIT
-    centre, cov = np.median(x, axis=0), np.diag((1.4826 * mad) ** 2)
-    for _ in range(quality.STEPS):
-        z = np.linalg.solve(np.linalg.cholesky(cov + floor), (x - centre).T)
-        q = np.floor(np.log2(1 + (z**2).sum(0)) * 64)
-        near = x[q <= np.percentile(q, 75)]
-        centre, cov = near.mean(0), quality.CONSISTENCY * np.cov(near.T, bias=True)
-    assert [est[f"m{i}"] for i in range(quality.P)] == pytest.approx(centre.tolist())
-    inverse = np.linalg.inv(np.linalg.cholesky(cov + floor))
-    assert [est[f"w{i}{j}"] for i in range(quality.P) for j in range(i + 1)] == pytest.approx([inverse[i, j] for i in range(quality.P) for j in range(i + 1)], abs=1e-9)
+    rows = []
+    for lang, source, n in (("a", "p", 300), ("a", "q", 30), ("a", "r", 1), ("b", "p", 60)):
+        xs = rng.normal(500, 120, (n, quality.P)) + (80 if lang == "b" else 0)
+        xs[: n // 6] += rng.normal(4000, 500, (n // 6, quality.P))
+        rows += [(lang, source, False, *map(int, r)) for r in xs.round()]
+    df = spark.createDataFrame(rows, "g_lang string, g_source string, base_failed boolean, " + ", ".join(f"x{i} long" for i in range(quality.P)))
+    xs = np.array([r[3:] for r in rows])
+
+    def pooled(own, wide):
+        (h, m, c), (wm, wc), k = own, wide, quality.PRIOR
+        a, b = h / (h + k), k / (h + k)
+        return a * m + b * wm, a * c + b * wc + a * b * np.outer(m - wm, m - wm)
+
+    every = brute_determinants(xs)[1:]
+    langs = {g: pooled(brute_determinants(xs[[r[0] == g for r in rows]]), every) for g in "ab"}
+    got = {(r.g_lang, r.g_source, *(r[f"x{i}"] for i in range(quality.P))): r for r in quality.judge(df).collect()}
+    floor, kept = np.diag([f**2 for _, f in quality.FEATURES]), 0
+    for g in {r[:2] for r in rows}:
+        part = xs[[r[:2] == g for r in rows]]
+        if len(part) > 1:
+            own = brute_determinants(part)
+        else:
+            own = (1, part[0] / quality.UNIT, np.zeros((quality.P, quality.P)))
+        m, c = pooled(own, langs[g[0]])
+        inverse = np.linalg.inv(c + floor)
+        for x in part:
+            d = (x / quality.UNIT - m) @ inverse @ (x / quality.UNIT - m)
+            r = got[(*g, *x.tolist())]
+            assert r.distance2 == pytest.approx(d, rel=1e-6) and r.kept == (d <= quality.CUTOFF)
+            kept += r.kept
+    assert 250 < kept < len(rows)
+
+
+def test_quality_of_a_very_long_text(spark):
+    long = "\n".join(prose(50) for _ in range(1000))
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    r = quality.judge(common.materialize(quality.quality_statistics(df, ["doc_id"]), "t")).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(long)
 
 
 def test_chi2():
