@@ -86,6 +86,7 @@ class Encoder:
         # a mark that is a token of its own between pieces: a line end, or a control character as a word
         self.mark, self.mark_byte = ("\n", b"\n") if self.keeps_blank else (" \x01 ", b"\x01")
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[-1]
+        self.model = self.tokenizer.model
         self.line_end = self.encode("\n")
         self.marks: dict[bytes, bytes] = {}  # short runs of marks after a word
         self.cache: dict[bytes, bytes] = {}
@@ -131,7 +132,7 @@ class Encoder:
             text = text.translate(_TO_LETTERS)
         if blank and self.keeps_blank:
             text = _LETTERS[32] + text
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _simple(self, piece: bytes) -> bytes | None:
         """Ids of a word of letters with marks after it; None for any other piece."""
@@ -162,9 +163,13 @@ class Encoder:
         odd: list[tuple[bytes, bytes, str]] = []
         if len(self.cache) + len(pieces) > CACHE_PIECES:
             self.cache.clear()
+        cache, simple = self.cache, self._simple if self.direct else lambda p: None
         for p in dict.fromkeys(pieces):
-            if self.direct and (ids := self._simple(p)) is not None:
+            ids = simple(p)
+            if ids is not None:
                 got[p] = ids
+                if len(p) <= CACHE_CHARS:
+                    cache[p] = ids
                 continue
             front, text = self._literal(p)
             (odd if not text or self.mark_byte in text else new).append((p, front, text.decode("utf-8", "replace")))
@@ -177,7 +182,7 @@ class Encoder:
             for (p, front, _), end in zip(new, [*ends.tolist(), len(ids)], strict=True):
                 got[p] = front + data[4 * at : 4 * end]
                 at = end + 1
-        self.cache.update((p, x) for p, x in got.items() if len(p) <= CACHE_CHARS)
+        cache.update((p, got[p]) for p, _, _ in chain(new, odd) if len(p) <= CACHE_CHARS)
         return got
 
     def _group(self, texts: list[str | None]) -> list[bytes]:
