@@ -1,7 +1,7 @@
 """Shared pieces of the training-data operators: tables, scratch tables, arrays, word splitting.
 
 Scratch tables live under ``spark.checkpoint.dir`` (shared by driver and executors), so a lost
-executor never loses them.  Only where that setting is unset (tests, notebooks) a local folder is used.
+executor never loses them.  Only where that setting is unset and the master is local (tests, notebooks) a local folder is used.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +26,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is named."""
+    """The cluster's shared checkpoint folder; a local one only where none is named and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Folders, inside the application's, that scratch tables go to now.
+_SCOPES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), "graphloom", spark.sparkContext.applicationId, *_SCOPES, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch tables made inside are deleted at the end; what reads them must be written elsewhere by then."""
+    path = scratch_path(spark, "scope")
+    _SCOPES.append(path.rpartition("/")[2])
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -47,9 +70,7 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this application (results that read them must be written first)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}")
 
 
 def words(text: str) -> list[str]:

@@ -5,13 +5,18 @@ keyed generalised Feistel network over Z_a x Z_b: each round adds a keyed hash o
 half's size, so a value maps to one value of its format and equal values stay linked across documents.
 
 Kinds: mail address (letters and digits, runs permuted per length; the top-level domain stays), IPv4 address,
-payment card (13-19 digits, Luhn-valid before and after), telephone number (country code and punctuation stay; North
-American numbers keep valid area and exchange codes), ISO date and day.month.year or month/day/year date (valid
-calendar days of 1800-2199), IBAN (mod-97 valid before and after).
+payment card (13-19 digits together, or grouped 4-4-4-4 or 4-6-5; Luhn-valid before and after), telephone number (country
+code, by the numbering plan's prefixes, and punctuation stay; North American numbers keep valid area and exchange codes),
+ISO date and day.month.year, month/day/year or else day/month/year date (valid calendar days of 1800-2199), IBAN (together,
+or in groups of four of which all but the first are digits; mod-97 valid before and after).
+
+The key is part of the plan, so whoever can read the cluster's plans can read a digest of it that gives the same
+pseudonyms; the key itself appears nowhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,18 +26,30 @@ from . import common
 from .common import let
 
 ROUNDS = 8
-#: Production keys come from here; the fallback is for tests.
-KEY = os.environ.get("GRAPHLOOM_PII_KEY", "local test key")
+#: Names the environment variable that holds the production key.
+KEY_NAME = "GRAPHLOOM_PII_KEY"
+
+
+def default_key(spark: SparkSession) -> str:
+    """The key of the environment; without one, a fixed key on a local master only."""
+    key = os.environ.get(KEY_NAME)
+    if key:
+        return key
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{KEY_NAME} is not set: pseudonyms need a secret key")
+    return "local test key"
+
 
 MAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: [0-9]{4}){1,6}(?: [0-9]{1,3})?)"
 IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
-CARD = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}"
+CARD = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
 NUMBERS = rf"(?:{IPV4})(?![0-9]|\.[0-9])|(?:{DATE})(?![0-9])|(?:{PHONE})(?![0-9])|(?:{CARD})(?![0-9])"
 FOUND = rf"(?<![A-Za-z0-9._%+-])(?:{MAIL})|(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])|(?<![0-9A-Za-z+]|[0-9][.-])(?:{NUMBERS})"
-CARD_RUN = 10  # digits that a wide half is cut to, so that sums stay in a long
+#: Country codes of one and two digits in the international numbering plan; all others have three.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
 def _hash(key: str, label: Column, i: int, half: Column) -> Column:
@@ -41,7 +58,7 @@ def _hash(key: str, label: Column, i: int, half: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, label: Column, key: str = KEY, rounds: int = ROUNDS) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, label: Column, key: str = "", rounds: int = ROUNDS) -> Column:
     """struct<l, r>: a keyed permutation of (left, right) in Z_a x Z_b, one for each *label*."""
     start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
 
@@ -61,7 +78,7 @@ def _digits(value: Column, n: Column) -> Column:
     return F.lpad(value.cast("string"), n, "0")
 
 
-def permute_digits(digits: Column, label: str, key: str = KEY) -> Column:
+def permute_digits(digits: Column, label: str, key: str = "") -> Column:
     """A string of 1 to 36 digits as another one of its length.  (A single digit is half of two, so it is shifted only.)"""
     n = F.length(digits)
     k = F.floor(n / 2).cast("int")
@@ -113,7 +130,8 @@ def _date(value: Column, key: str) -> Column:
     """A valid day of 1800-2199 (146,097 = 189 x 773 days) as another one, in the same notation."""
     iso = value.rlike("^[0-9]{4}-")
     mark = F.substring(value, 3, 1)
-    forms = [(iso, "yyyy-MM-dd"), (~iso & (mark == "."), "dd.MM.yyyy"), (~iso & (mark == "/"), "MM/dd/yyyy")]
+    forms = [(iso, "yyyy-MM-dd"), (~iso & (mark == "."), "dd.MM.yyyy"), (~iso & (mark == "/"), "MM/dd/yyyy"), (~iso & (mark == "/"), "dd/MM/yyyy")]
+    forms = [(c & F.try_to_timestamp(value, F.lit(f)).isNotNull(), f) for c, f in forms]
     day = F.coalesce(*[F.when(c, F.try_to_timestamp(value, F.lit(f)).cast("date")) for c, f in forms])
     number = F.datediff(day, F.lit("1800-01-01").cast("date"))
     mixed = feistel(F.floor(number / 773), number % 773, F.lit(189), F.lit(773), F.lit("date"), key)
@@ -123,7 +141,7 @@ def _date(value: Column, key: str) -> Column:
 
 def _phone(value: Column, key: str) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
-    country = F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+([0-9]{1,3})(?=[ .(-])", 1))).otherwise(0)
+    country = F.when(value.startswith("+"), F.length(F.regexp_extract(value, COUNTRY, 1))).otherwise(0)
 
     def north_american(d: Column) -> Column:
         """Area and exchange codes start with 2-9: 800 area codes x 8,000,000 others."""
@@ -175,14 +193,19 @@ def _iban_digits(value: Column) -> Column:
     return F.concat_ws("", F.transform(F.split(value, ""), lambda c: (F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1).cast("string")))
 
 
-def _iban(value: Column, key: str) -> Column:
+def _iban(found: Column, key: str) -> Column:
+    moved = let(F.replace(found, F.lit(" "), F.lit("")), lambda v: _plain_iban(v, key))
+    return F.when(found.contains(" "), F.regexp_replace(moved, "(.{4})(?!$)", "$1 ")).otherwise(moved)
+
+
+def _plain_iban(value: Column, key: str) -> Column:
     country, body = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
     valid = _mod97(_iban_digits(F.concat(body, F.substring(value, 1, 4)))) == 1
     moved = let(_letters(body, key), lambda b: F.concat(country, F.lpad((98 - _mod97(_iban_digits(F.concat(b, country, F.lit("00"))))).cast("string"), 2, "0"), b))
     return F.when(valid, moved)
 
 
-def pseudonym(found: Column, key: str = KEY) -> Column:
+def pseudonym(found: Column, key: str) -> Column:
     """struct<kind, value> of one match; kind is null where validation fails and the match stays."""
     digits = F.regexp_replace(found, "[ -]", "")
     whole = lambda p: found.rlike(f"^(?:{p})$")
@@ -200,12 +223,14 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     """*docs* with personal numbers, dates and addresses in ``text`` replaced, plus ``pii_kinds`` (one per replacement).
 
     A null text stays null, a text without any stays as it is; repeated rows get equal pseudonyms; other columns
-    pass through; an empty table stays empty.
+    pass through (``pii_kinds`` is replaced); an empty table stays empty; texts of any length are read whole, within a row.
+    Without *key*, :func:`default_key` holds.
     """
+    key = hashlib.sha256((key or default_key(docs.sparkSession)).encode()).hexdigest()
     text = F.col("text")
     none = F.array().cast("array<struct<kind:string,value:string>>")
     has = text.rlike("[0-9@]") & text.rlike(FOUND)

@@ -3,6 +3,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -146,6 +147,92 @@ def test_pseudonyms(spark):
     assert again[1] != got[1].text
 
 
+def py_feistel(left, right, a, b, label, key):
+    for i in range(pii.ROUNDS):
+        number = lambda half: int(hashlib.sha256(f"{key}:{label}:{i}:{half}".encode()).hexdigest()[:13], 16)
+        if i % 2 == 0:
+            right = (right + number(left)) % b
+        else:
+            left = (left + number(right)) % a
+    return left, right
+
+
+def py_digits(digits, label, key):
+    n = len(digits)
+    k = n // 2
+    left, right = py_feistel(int(digits[:k] or 0), int(digits[k:]), 10**k, 10 ** (n - k), f"{label}:{n}", key)
+    return (str(left).zfill(k) if k else "") + str(right).zfill(n - k)
+
+
+def py_luhn(digits):
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
+
+
+def py_pseudonym(kind, found, key):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "card":
+        body = py_digits(digits[:-1], "card", key)
+        new = body + str(-py_luhn(body + "0") % 10)
+    elif kind == "date":
+        form = "%Y-%m-%d" if found[4] == "-" else "%d.%m.%Y" if "." in found else "%m/%d/%Y"
+        try:
+            day = datetime.strptime(found, form)
+        except ValueError:
+            form = "%d/%m/%Y"
+            day = datetime.strptime(found, form)
+        left, right = divmod((day - datetime(1800, 1, 1)).days, 773)
+        left, right = py_feistel(left, right, 189, 773, "date", key)
+        return (datetime(1800, 1, 1) + timedelta(left * 773 + right)).strftime(form)
+    elif kind == "ipv4":
+        p = [int(x) for x in found.split(".")]
+        left, right = py_feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ipv4", key)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    elif kind == "phone":  # North American only
+        own = digits[-10:]
+        left, right = py_feistel(int(own[:3]) - 200, int(own[3:]) - 2_000_000, 800, 8_000_000, "nanp", key)
+        new = digits[:-10] + str(left + 200) + str(right + 2_000_000)
+    it = iter(new)
+    return re.sub("[0-9]", lambda m: next(it), found)
+
+
+def test_pseudonyms_match_brute_force(spark):
+    rng = random.Random(6)
+    pick = lambda n: "".join(rng.choices("0123456789", k=n))
+    rows = []
+    for _ in range(40):
+        card = pick(rng.randint(12, 18))
+        rows.append(("card", card + str(-py_luhn(card + "0") % 10)))
+        day = datetime(1800, 1, 1) + timedelta(rng.randrange(146097))
+        rows += [("date", day.strftime(f)) for f in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y")]
+        rows.append(("ipv4", ".".join(str(rng.randrange(256)) for _ in range(4))))
+        rows.append(("phone", f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{pick(4)}"))
+    rows += [("date", "31/12/2024"), ("card", "3782 822463 10005"), ("phone", "+17435553824"), ("phone", "+1 743 555 3824")]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    key = hashlib.sha256(b"k").hexdigest()
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "k").collect()}
+    for i, (kind, found) in enumerate(rows):
+        assert got[i].pii_kinds == [kind] and got[i].text == f"x {py_pseudonym(kind, found, key)} y"
+    assert re.sub("[^0-9]", "", got[len(rows) - 2].text) == re.sub("[^0-9]", "", got[len(rows) - 1].text)  # linked whatever the punctuation
+
+
+def test_grouped_iban_is_linked(spark):
+    df = spark.createDataFrame([(1, "DE89 3704 0044 0532 0130 00 paid"), (2, "DE89370400440532013000"), (3, "DE88 3704 0044 0532 0130 00")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymize(df).collect()}
+    assert got[1].endswith(" paid") and got[1][:-5].replace(" ", "") == got[2] != "DE89370400440532013000" and [len(g) for g in got[1][:-5].split(" ")] == [4, 4, 4, 4, 4, 2]
+    assert got[3] == "DE88 3704 0044 0532 0130 00"
+
+
+def test_hide_private_keeps_rows_and_columns(spark):
+    long = "word " * 200_000 + "mail a.b@mail5.example.com"
+    rows = [(1, long, 1, 7), (2, None, 2, 7), (3, "", 3, 7), (3, "", 3, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, pii_kinds int")
+    out = pii.hide_private(spark, df, "")
+    got = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert out.columns == df.columns and [r._row for r in got] == [1, 2, 3, 3] and got[1].text is None and {r.pii_kinds for r in got} == {7}
+    assert len(got[0].text) == len(long) and "a.b@mail5" not in got[0].text
+    assert pii.hide_private(spark, df.limit(0), "").count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(1000)
     for a, b in ((10, 100), (25, 40)):
