@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import chat, licenses, mixing, packing, scoring, token_files
@@ -182,6 +183,77 @@ def test_mixing_learns_and_sums_to_one():
     assert sum(2.0 ** -coder.lengths[s] for s in range(mixing.SYMBOLS)) == pytest.approx(1)
 
 
+def brute_score(coder, tables, text):
+    """One decision after the other, in plain Python: the mixer's score of a text."""
+    line = mixing.symbols(text).tolist()
+    past = [0] * mixing.PAST + line
+    events = []
+    for at, symbol in enumerate(line):
+        back = past[: at + mixing.PAST][::-1]
+        pair = back[0] * mixing.SYMBOLS + symbol
+        first = int(coder.offsets[pair])
+        for path in coder.path[first : first + int(coder.lengths[pair])].tolist():
+            bit, salt, h, done, inputs = path & 1, path | 1, 0, 0, []
+            for order, size, table in zip(mixing.ORDERS, mixing.SLOT_BITS, tables):
+                for i in range(done, order):
+                    h = (h ^ (back[i] + 1 + i)) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 13
+                done = order
+                mixed = ((h * 0xC2B2AE35 & 0xFFFFFFFF) ^ salt) * 0x27D4EB2F & 0xFFFFFFFF
+                inputs.append(int(table[mixed >> (32 - size)]) / 8)
+            events.append((bit, inputs))
+    weights = [list(map(float, w)) for w in mixing._START]
+    refined = [1 / (1 + math.exp(-((i + 0.5) * 16 / mixing._MAP - 8))) for i in range(mixing._MAP)] * 2
+    nats, at, size, counted = 0.0, 0, 1024, 0
+    # blocks never cross a segment's end
+    segment_ends, n = [], 0
+    for i in range(0, len(line), mixing.SEGMENT):
+        n += sum(int(coder.lengths[past[j + mixing.PAST - 1] * mixing.SYMBOLS + line[j]]) for j in range(i, min(len(line), i + mixing.SEGMENT)))
+        segment_ends.append(n)
+    while at < len(events):
+        end = min(at + size, next(e for e in segment_ends if e > at))
+        steps, gates = [[0.0] * 4, [0.0] * 4], [0, 0]
+        met: dict[int, list[int]] = {}
+        for bit, x in events[at:end]:
+            gate = int(x[-1] != 0)
+            z = min(7.99, max(-7.99, sum(w * v for w, v in zip(weights[gate], x))))
+            p = 1 / (1 + math.exp(-z))
+            cell = int((z + 8) * mixing._MAP / 16) + gate * mixing._MAP
+            q = (refined[cell] + p) / 2
+            nats += math.log(q if bit else 1 - q)
+            gates[gate] += 1
+            steps[gate] = [s + v * (bit - p) for s, v in zip(steps[gate], x)]
+            met.setdefault(cell, [0, 0])[bit] += 1
+        for gate in (0, 1):
+            weights[gate] = [w + mixing._RATE / (gates[gate] + 64) * s for w, s in zip(weights[gate], steps[gate])]
+        for cell, (zeros, ones) in met.items():
+            refined[cell] += mixing._MAP_RATE * (ones - (zeros + ones) * refined[cell]) / (1 + mixing._MAP_RATE * (zeros + ones))
+            refined[cell] = min(1 - 1e-4, max(1e-4, refined[cell]))
+        at, size = end, min(8192, size * 4)
+    return nats / math.log(10)
+
+
+def test_score_matches_sequential_mixer():
+    train = ["the cat sat on the mat. " * 30, "a dog, Übermut and 12 birds\n" * 9]
+    lines = [mixing.symbols(t) for t in train]
+    coder = mixing.Coder(sum(map(mixing.pair_counts, lines)))
+    trainer = mixing.Trainer(coder)
+    for x in lines:
+        trainer.add(x)
+    mixer = mixing.Mixer(coder, mixing.stretched(np.concatenate(_settled(trainer))))
+    for text in ("The cat sat on a dog. " * 60, "", None, "zq", "the birds " * 2000):
+        score, n = mixer.score(text)
+        assert n == len(mixing.symbols(text)) and score == pytest.approx(brute_score(coder, mixer.table, text), rel=1e-4)
+
+
+def test_cut_off(spark):
+    words = spark.createDataFrame([(f"w{i}".encode(), 1 + i % 40) for i in range(400)], "word binary, n long")
+    for most in (0, 5, 100, 400):
+        least = scoring.cut_off(words, most)
+        assert words.filter(F.col("n") > least).count() <= most
+    assert scoring.cut_off(words, 400) == 0 and scoring.cut_off(words.limit(0), 5) == 0
+
+
 def _settled(trainer):
     trainer.settle()
     return trainer.counts
