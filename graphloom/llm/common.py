@@ -73,6 +73,13 @@ def drop_scratch(spark: SparkSession) -> None:
     delete(spark, f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}")
 
 
+def slices(batches, rows: int = 256):
+    """Record batches of at most *rows* rows: what a kernel makes of a batch is then bounded, whatever Spark's batch size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def words(text: str) -> list[str]:
     """``[^\\x20\\x09-\\x0D]+`` words; bytes.split cuts at exactly these six characters."""
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]

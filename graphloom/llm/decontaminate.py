@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     for index in _slices(spark, items):
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in common.slices(batches):
                 rows = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for h in index.value.hits(t)]
                 columns = list(zip(*rows)) or [[]] * 5
                 kinds = [pa.int64()] * 4 + [pa.float64()]
@@ -200,7 +200,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         at = docs.columns.index("text")
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in common.slices(batches):
                 clean = pa.array([not index.value.hits(t) for t in batch.column(at).to_pylist()], pa.bool_())
                 yield batch.filter(clean)
 

@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) per row of ``doc_id, text``; null texts have no words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             fp = np.array([fingerprint(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
