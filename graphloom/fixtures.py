@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.retrieval import cosine
+from .plans.analytics import _persisted
 from .plans.graph import Graph
 
 SIM_THRESHOLD = 0.4
@@ -37,7 +38,8 @@ def supply_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kg(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.of(place_triples(spark, sf_dir).unionByName(supply_triples(spark, sf_dir)))
+    """The triples are written once; entities and predicates are read from there."""
+    return Graph.of(_persisted(place_triples(spark, sf_dir).unionByName(supply_triples(spark, sf_dir))))
 
 
 def places(spark: SparkSession, sf_dir: str) -> Graph:

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -57,6 +57,51 @@ def known_endpoints(relations: DataFrame, entities: DataFrame, chunk: str = "chu
     return left.join(ends.withColumnRenamed("name", "object"), [chunk, "object"], "left_semi")
 
 
+#: What an isolated failure leaves in place of an answer; such answers are never cached.
+FAILED = "\x00failed: "
+
+
+def isolated(call: Callable[..., str]) -> Callable[..., str]:
+    """*call*, with an exception turned into a marked answer."""
+
+    def run(*args) -> str:
+        try:
+            return call(*args)
+        except Exception as e:  # one failing chunk must not stop the others
+            return f"{FAILED}{e}"
+
+    return run
+
+
+def extract_chunks(chunks: DataFrame, cache: DataFrame, model: str = "rules", entities: EntityExtractor = rule_entities, relations: RelationExtractor = rule_relations) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(names(chunk_id, name), triples(chunk_id, ...), failed(chunk_id, error), new cache rows) of chunks (chunk_id, text).
+
+    A call that raises leaves its chunk in *failed*; the other chunks are not touched, and what failed is asked again next time.
+    """
+    safe_entities, safe_relations = isolated(entities), isolated(relations)
+
+    def ask_entities(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "value": [safe_entities(t) for t in pdf["text"]]})
+
+    def ask_relations(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "value": [safe_relations(t, list(e)) for t, e in zip(pdf["text"], pdf["entities"])]})
+
+    bad = F.col("value").startswith(FAILED)
+    error = lambda t: t.filter(bad).select("chunk_id", F.substring("value", len(FAILED) + 1, 1 << 20).alias("error"))
+    keyed = chunks.select("chunk_id", "text", T.cache_key("entities", model, F.col("text")).alias("key"))
+    answered, new_entities = through_cache(keyed, "key", cache, ask_entities, ["text"])
+    answered = _persisted(answered.select("chunk_id", "text", "value"))
+    named = _persisted(cap_entities(answered.filter(~bad).select("chunk_id", "text", T.parse_entities(F.col("value")).alias("entities"))))
+    rekeyed = named.withColumn("key", T.cache_key("relations", model, F.col("text"), F.to_json("entities")))
+    related, new_relations = through_cache(rekeyed, "key", cache, ask_relations, ["text", "entities"])
+    related = _persisted(related.select("chunk_id", "value"))
+    names = named.select("chunk_id", F.explode("entities").alias("name"))
+    triples = known_endpoints(related.filter(~bad).select("chunk_id", F.inline(T.parse_relations(F.col("value")))), names)
+    return names, triples, error(answered).unionByName(error(related)), new_entities.unionByName(new_relations).filter(~bad)
+
+
 def extract(chunks: DataFrame, cache: DataFrame, model: str = "rules", entities: EntityExtractor = rule_entities, relations: RelationExtractor = rule_relations) -> tuple[Graph, DataFrame]:
     """(graph, new cache rows) of chunks (chunk_id, text): entities, cap, relations keyed by text and entities, end check."""
 
@@ -99,12 +144,8 @@ def flatten_conversations(turns: DataFrame) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.concat_ws("\n", F.transform(lines, lambda s: s["line"])).alias("text"))
 
 
-def latest_pages(lines: DataFrame) -> DataFrame:
-    """Resume scan: of repeated page records (page, line_no, ...) the last line of each page."""
-    other = [c for c in lines.columns if c not in ("page",)]
-    newest = lines.groupBy("page").agg(F.max_by(F.struct(*other), "line_no").alias("r"))
-    return newest.select("page", "r.*")
-
-
-def numbered(df: DataFrame, by: str, order: list) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+def latest_pages(lines: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Resume scan: of repeated page records (*keys*, line_no, ...) the last line of each page."""
+    other = [c for c in lines.columns if c not in keys]
+    newest = lines.groupBy(*keys).agg(F.max_by(F.struct(*other), "line_no").alias("r"))
+    return newest.select(*keys, "r.*")

@@ -5,8 +5,13 @@ Every operator takes a table of queries and answers all of them in one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.analytics import _persisted
 from ..plans.graph import collapse
@@ -33,21 +38,51 @@ def document_frequencies(post: DataFrame, doc: str = "doc_id") -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def term_weights(docs: DataFrame, post: DataFrame, tokens: Column, doc: str = "doc_id") -> DataFrame:
-    """(term, idf, avgdl); a negative idf becomes EPSILON times the mean over the vocabulary."""
-    corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
-    raw = document_frequencies(post, doc).crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+def term_weights(post: DataFrame, n: int) -> DataFrame:
+    """(term, idf, avgdl) of the postings of *n* documents; a negative idf becomes EPSILON times the mean over the vocabulary."""
+    raw = document_frequencies(post).withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean, total = raw.agg(F.avg("raw")).first()[0], post.agg(F.sum("tf")).first()[0]
+    average = F.lit((total or 0) / n if n else 0.0)
+    return raw.select("term", F.when(F.col("raw") < 0, EPSILON * F.lit(mean or 0.0)).otherwise(F.col("raw")).alias("idf"), average.alias("avgdl"))
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Postings (doc, term, tf, length) and term weights (term, idf, avgdl), written once."""
+
+    postings: DataFrame
+    weights: DataFrame
+
+    @classmethod
+    def build(cls, docs: DataFrame, tokens: Column, doc: str = "doc_id", path: str | None = None) -> LexicalIndex:
+        """*path* keeps the index; without it, it is a scratch table."""
+        made = postings(docs, tokens, doc).withColumnRenamed(doc, "doc")
+        if path is None:
+            made = _persisted(made)
+            return cls(made, _persisted(term_weights(made, docs.count())))
+        made.write.mode("overwrite").parquet(f"{path}/postings")
+        made = docs.sparkSession.read.parquet(f"{path}/postings")
+        term_weights(made, docs.count()).write.mode("overwrite").parquet(f"{path}/terms")
+        return cls.load(docs.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"))
+
+    def scores(self, queries: DataFrame, query_tokens: Column, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
+        """(query, doc, bm25) of the pairs that share a term; a repeated query term counts each time.
+
+        Only the asked terms' weights and postings are joined.
+        """
+        asked = queries.select(query, F.explode(query_tokens).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
+        met = self.postings.join(asked.join(self.weights, "term"), "term")
+        gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+        return met.groupBy(query, F.col("doc").alias(doc)).agg(F.sum(gain).alias("bm25"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
-    """(query, doc, bm25) of the pairs that share a term; a repeated query term counts each time."""
-    post = postings(docs, doc_tokens, doc)
-    asked = queries.select(query, F.explode(query_tokens).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
-    met = post.join(asked, "term").join(term_weights(docs, post, doc_tokens, doc), "term")
-    gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    return met.groupBy(query, doc).agg(F.sum(gain).alias("bm25"))
+    """(query, doc, bm25) of *queries* against *docs* without a kept index."""
+    return LexicalIndex.build(docs, doc_tokens, doc).scores(queries, query_tokens, doc, query)
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", tie: str = "doc_id", query: str = "query_id") -> DataFrame:
@@ -67,6 +102,70 @@ def vector_scores(items: DataFrame, queries: DataFrame, vector: str = "embedding
     return items.join(F.broadcast(queries.select(query, query_vector))).withColumn("cosine", cosine(F.col(vector), F.col(query_vector))).drop(query_vector)
 
 
+#: Query vectors that one pass over the items compares.
+QUERY_BLOCK = 4096
+
+
+def nearest(items: DataFrame, queries: DataFrame, k: int, item: str = "doc_id", vector: str = "embedding", query_vector: str = "query_vector", query: str = "query_id") -> DataFrame:
+    """(query, item, cosine, rank): the k nearest items of each query, exact, cosines rounded to six digits, ties by item.
+
+    Queries are taken in blocks of bounded size; a pass sends one block to the items, and each batch of items yields its k
+    best per query, so what is shuffled is k rows per query and batch.
+    """
+    spark = items.sparkSession
+    kind = dict(items.dtypes)[item]
+    item_type, query_type = to_arrow_type(items.schema[item].dataType), to_arrow_type(queries.schema[query].dataType)
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    dealt = _persisted(queries.select(query, query_vector, F.pmod(F.xxhash64(query), F.lit(blocks)).alias("_b")))
+    found = None
+    for b in range(blocks):
+        rows = dealt.filter(F.col("_b") == b).select(query, query_vector).collect()  # a block
+        if not rows:
+            continue
+        block = spark.sparkContext.broadcast(([r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64))))
+
+        def run(batches, block=block):
+            names, unit = block.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                width = unit.shape[1]
+                own = _unit(np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, width))
+                scores = np.round(unit @ own.T, 6) + 0.0
+                ids = np.array(batch.column(0).to_pylist())
+                order = np.argsort(ids, kind="stable")
+                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+                at = np.repeat(np.arange(len(names)), best.shape[1])
+                columns = [pa.array([names[i] for i in at], query_type), pa.array(ids[best.ravel()].tolist(), item_type), pa.array(scores[at, best.ravel()])]
+                yield pa.RecordBatch.from_arrays(columns, names=[query, item, "cosine"])
+
+        part = items.select(item, F.col(vector).cast("array<double>")).mapInArrow(run, f"{query} {dict(queries.dtypes)[query]}, {item} {kind}, cosine double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], f"{query} {dict(queries.dtypes)[query]}, {item} {kind}, cosine double, rank int")
+    return top_k(found, k, "cosine", item, query)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def hybrid_top_k(items: DataFrame, queries: DataFrame, lexical: DataFrame, k: int, weight: float = 0.3, digits: int = 9, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """(query, doc, score, rank): the k best by (1 - weight) * cosine + weight * bm25 / best bm25, scores rounded.
+
+    *items* (doc, embedding), *queries* (query, query_vector), *lexical* (query, doc, bm25).  A document without a lexical score
+    can only be among the best if it is among the k nearest, lexical shares being zero at least; so only those and the
+    lexical pairs are scored.
+    """
+    close = nearest(items, queries, k, doc).select(query, doc)
+    pairs = close.unionByName(lexical.join(queries.select(query), query, "left_semi").select(query, doc)).distinct()
+    both = pairs.join(items.select(doc, "embedding"), doc).join(queries.select(query, "query_vector"), query)
+    vectors = both.select(query, doc, F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("cosine"))
+    fused = fuse(vectors, lexical, weight, doc, query).select(query, doc, F.round("score", digits).alias("score"))
+    return top_k(fused, k, "score", doc, query)
+
+
 def fuse(vectors: DataFrame, lexical: DataFrame, weight: float = 0.3, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
     """score = (1 - weight) * cosine + weight * bm25 / best bm25 of the query (zero if none is positive)."""
     best = lexical.groupBy(query).agg(F.max("bm25").alias("_best"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import colorsys
 import hashlib
 import uuid
 
@@ -62,7 +63,7 @@ def ordered_relations(graph: Graph) -> DataFrame:
     """
     keys = [F.lower("predicate"), F.lower("subject"), F.lower("object"), "predicate", "subject", "object"]
     ordered = graph.triples.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    ordered = _persisted(ordered, graph.triples)
+    ordered = _persisted(ordered)
     sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_low"))
     base = sizes.select("_p", "_low", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))  # a row per partition
     return ordered.join(F.broadcast(base), "_p").select(F.concat(F.lit("e"), (F.col("_base") + F.col("_i") - F.col("_low")).cast("string")).alias("id"), "subject", "predicate", "object")
@@ -72,12 +73,13 @@ def _shared_path(df: DataFrame) -> str:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file:///tmp/graphloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/graphloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def _persisted(df: DataFrame, _like: DataFrame | None = None) -> DataFrame:
+def _persisted(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back: cuts lineage and survives lost executors."""
     path = _shared_path(df)
     df.write.parquet(path)
@@ -120,17 +122,17 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 
 
 def label_color(label: Column) -> Column:
-    """#rrggbb from the SHA-1 of a label: hue of its first four hex digits, fixed lightness and saturation."""
-    hue = F.conv(F.substring(F.sha1(label), 1, 4), 16, 10).cast("double") / 65536 * 6
-    x = F.lit(1.0) - F.abs(F.pmod(hue, F.lit(2.0)) - 1)
-    sector = F.floor(hue).cast("int")
-    full, part, none = F.lit(1.0), x, F.lit(0.0)
-    choose = lambda six: F.element_at(F.array(*six), sector + 1)
-    red = choose([full, part, none, none, part, full])
-    green = choose([part, full, full, part, none, none])
-    blue = choose([none, none, part, full, full, part])
-    two = lambda c: F.lpad(F.lower(F.hex((F.round((c * 0.55 + 0.25) * 255)).cast("bigint"))), 2, "0")
-    return F.concat(F.lit("#"), two(red), two(green), two(blue))
+    """#rrggbb from the SHA-1 of a label: hue, saturation and lightness from its first three bytes."""
+    byte = lambda i: F.conv(F.substring(F.sha1(label), 2 * i + 1, 2), 16, 10).cast("double") / 255
+    hue, saturation, light = byte(0), 0.55 + byte(1) * 0.3, 0.45 + byte(2) * 0.25
+    reach = saturation * F.least(light, 1 - light)
+
+    def channel(n: int) -> Column:
+        k = F.pmod(F.lit(float(n)) + hue * 12, F.lit(12.0))
+        value = light - reach * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
+        return F.lpad(F.lower(F.hex(F.floor(F.round(value * 255, 9)).cast("bigint"))), 2, "0")
+
+    return F.concat(F.lit("#"), channel(0), channel(8), channel(4))
 
 
 def view_model(graph: Graph) -> dict[str, DataFrame]:
@@ -139,13 +141,17 @@ def view_model(graph: Graph) -> dict[str, DataFrame]:
     incident = lambda end, name: ordered.groupBy(F.col(end).alias("name")).agg(F.array_sort(F.collect_list("id")).alias(name))
     ordered = ordered_relations(full)
     nodes = degrees(full).join(neighbors(full), "name", "left").join(incident("subject", "outgoing"), "name", "left").join(incident("object", "incoming"), "name", "left")
-    if graph.entity_clusters is not None:
-        members = graph.entity_clusters.groupBy(F.col("member").alias("name")).agg(F.min("representative").alias("cluster"))
-        nodes = nodes.join(members, "name", "left").withColumn("color", F.coalesce(label_color(F.col("cluster")), F.lit("#64748b")))
+    first = lambda clusters, key: clusters.groupBy(F.col("member").alias(key)).agg(F.min("representative").alias("cluster"))
+    tagged = lambda kind: label_color(F.concat(F.lit(f"{kind}::"), F.col("cluster")))
+    none = F.lit(None).cast("string").alias("cluster")
+    nodes = nodes.join(first(graph.entity_clusters, "name"), "name", "left") if graph.entity_clusters is not None else nodes.select("*", none)
+    nodes = nodes.withColumn("color", F.coalesce(tagged("entity"), F.lit("#64748b")))
+    edges = ordered.join(first(graph.edge_clusters, "predicate"), "predicate", "left") if graph.edge_clusters is not None else ordered.select("*", none)
+    edges = edges.withColumn("color", F.coalesce(tagged("predicate"), label_color(F.concat(F.lit("predicate::"), F.col("predicate")))))
     comps = components(full)
     return {
         "nodes": nodes,
-        "edges": ordered.withColumn("color", label_color(F.col("predicate"))),
+        "edges": edges.select("id", "subject", "predicate", "object", "cluster", "color"),
         "top_entities": top_entities(full),
         "top_predicates": top_predicates(full),
         "stats": statistics(full),
@@ -155,8 +161,7 @@ def view_model(graph: Graph) -> dict[str, DataFrame]:
 
 
 def color_of(label: str) -> str:
-    """Driver-side twin of :func:`label_color`, for tests."""
-    hue = int(hashlib.sha1(label.encode()).hexdigest()[:4], 16) / 65536 * 6
-    x = 1 - abs(hue % 2 - 1)
-    rgb = [(1, x, 0), (x, 1, 0), (0, 1, x), (0, x, 1), (x, 0, 1), (1, 0, x)][int(hue)]
-    return "#" + "".join(f"{int((c * 0.55 + 0.25) * 255 + 0.5):02x}" for c in rgb)
+    """Driver-side twin of :func:`label_color`, by the standard library's colour conversion, for tests."""
+    h, s, v = hashlib.sha1(label.encode()).digest()[:3]
+    rgb = colorsys.hls_to_rgb(h / 255, 0.45 + v / 255 * 0.25, 0.55 + s / 255 * 0.3)
+    return "#" + "".join(f"{int(round(c * 255, 9)):02x}" for c in rgb)

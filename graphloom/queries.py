@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import text as T
 from .operators import chunking, dedup, extraction, retrieval, sections
 from .plans import analytics
+from .plans.analytics import _persisted
 from .plans.graph import Graph, collapse, merge, rewrite, sanitize_predicate, sink_edges
+from .service import DomainService
 from .sources import readers, sinks
 
 QUERIES: dict = {}
@@ -169,27 +172,30 @@ def kg_cluster_sizes(spark, sf):
 
 # --- graph retrieval ---
 
-_SEEDS = "seeds as (select 0 as query_id, 'v' || vec_id as name, 1.0::double / (1 + vec_id) as score from embeddings where vec_id < 60)"
+_SEEDS = "seeds as (select vec_id as query_id, 'v' || vec_id as name, 1.0::double / (1 + vec_id) as score from embeddings where vec_id % 50 = 0)"
 
 
 def _seeds(spark, sf) -> DataFrame:
-    ids = X.table(spark, sf, "embeddings").filter("vec_id < 60")
-    return ids.select(F.lit(0).alias("query_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), (F.lit(1.0) / (1 + F.col("vec_id"))).alias("score"))
+    """Each vector whose id is divisible by 50 as a query with itself as seed."""
+    ids = X.table(spark, sf, "embeddings").filter("vec_id % 50 = 0")
+    return ids.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), (F.lit(1.0) / (1 + F.col("vec_id"))).alias("score"))
 
 
 @query(_SIM + f""", {_SEEDS}, both_ways as (select subject as f, object as t from kg union all select object, subject from kg),
-near as (select name from seeds union select t from both_ways join seeds on f = name)
-select distinct 0 as query_id, subject as src, predicate as relation, object as dst from kg where subject in (select name from near) or object in (select name from near)""")
+near as (select query_id, name from seeds union select query_id, t from both_ways join seeds on f = name)
+select distinct query_id, subject as src, predicate as relation, object as dst from kg join near on name in (subject, object)""")
 def kg_khop_context(spark, sf):
     return retrieval.khop_context(X.sim(spark, sf).triples, _seeds(spark, sf), 2)
 
 
-@query(_SIM + f""", {_SEEDS}, both_ways as (select subject as f, object as t from kg union all select object, subject from kg),
-hop as (select t as name, 0.5 * max(score) as score from both_ways join seeds on f = name where t not in (select name from seeds) group by t),
-near as (select name, score from seeds union all select * from hop),
-scored as (select subject as src, predicate as relation, object as dst, greatest(0, max(n.score)) as score from kg join near n on n.name in (subject, object) group by all),
-ranked as (select *, row_number() over (order by score desc, src, relation, dst) as rank from scored)
-select 0 as query_id, rank::int as rank, src, relation, dst, round(score, 6) as score from ranked where rank <= 40""")
+_DECAY = """both_ways as (select subject as f, object as t from kg union all select object, subject from kg),
+hop as (select query_id, t as name, 0.5 * max(score) as score from both_ways join seeds s on f = name where not exists (select 1 from seeds o where o.query_id = s.query_id and o.name = t) group by all),
+near as (select query_id, name, score from seeds union all select * from hop),
+scored as (select query_id, subject as src, predicate as relation, object as dst, greatest(0, max(n.score)) as score from kg join near n on n.name in (subject, object) group by all),
+ranked as (select *, row_number() over (partition by query_id order by score desc, src, relation, dst) as rank from scored)"""
+
+
+@query(_SIM + f""", {_SEEDS}, {_DECAY} select query_id, rank::int as rank, src, relation, dst, round(score, 6) as score from ranked where rank <= 40""")
 def kg_subgraph_decay(spark, sf):
     return retrieval.decayed_subgraph(X.sim(spark, sf).triples, _seeds(spark, sf)).withColumn("score", F.round("score", 6))
 
@@ -215,13 +221,13 @@ def doc_sentences(spark, sf):
 
 @query()
 def doc_chunks_kg(spark, sf):
-    """Sentence chunks of at most 500 characters; held against a sequential version in the tests."""
+    """Sentence chunks of at most 500 characters; the tests hold them against a sequential version on whole tables."""
     return chunking.chunk_documents(X.table(spark, sf, "documents").select("doc_id", "text"), 500)
 
 
 @query()
 def doc_chunks_rag(spark, sf):
-    """Overlapping passages; held against a sequential version in the tests."""
+    """Overlapping passages; the tests hold them against a sequential version on whole tables."""
     return chunking.chunk_pages(X.table(spark, sf, "documents").select("doc_id", "text"))
 
 
@@ -232,17 +238,24 @@ def doc_bigram_df(spark, sf):
     return retrieval.document_frequencies(retrieval.postings(d, T.bigrams(F.col("text"))))
 
 
-_BM25 = """toks as (select doc_id, unnest(string_split_regex(lower(trim(text, ' ' || chr(10))), '\\s+')) as term from documents),
-len as (select doc_id, count(*) as dl from toks group by 1), corpus as (select (select count(*) from documents) as n, (select count(*) from toks)::double / (select count(*) from documents) as avgdl),
+def bm25_sql(tokens: str, asked: str) -> str:
+    """bm(query_id, doc_id, bm25) from selects of (doc_id, term) and (query_id, term)."""
+    return f"""toks as ({tokens}),
+len as (select doc_id, count(*) as dl from toks group by 1), corpus as (select (select count(*) from docs) as n, (select count(*) from toks)::double / (select count(*) from docs) as avgdl),
 post as (select doc_id, term, count(*) as tf from toks group by all),
 raw as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as r from post, corpus group by term, n),
 idf as (select term, case when r < 0 then 0.25 * (select avg(r) from raw) else r end as idf from raw),
-asked as (select item_id as query_id, term, count(*) as times from (select item_id, unnest(string_split_regex(lower(trim(text, ' ' || chr(10))), '\\s+')) as term from benchmark where item_id < 5) group by all),
+asked as (select query_id, term, count(*) as times from ({asked}) group by all),
 bm as (select query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as bm25 from asked join post using (term) join idf using (term) join len using (doc_id), corpus group by all)"""
 
 
+_WORDS = r"string_split_regex(lower(trim(text, ' ' || chr(10))), '\s+')"
+_BM25 = "docs as (select doc_id from documents), " + bm25_sql(f"select doc_id, unnest({_WORDS}) as term from documents", f"select item_id as query_id, unnest({_WORDS}) as term from benchmark where item_id % 50 = 0")
+
+
 def _bm25(spark, sf) -> DataFrame:
-    d, q = X.table(spark, sf, "documents"), X.table(spark, sf, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    """Every benchmark item whose id is divisible by 50 against all documents."""
+    d, q = X.table(spark, sf, "documents"), X.table(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25(d, q, T.tokens(F.col("text")), T.tokens(F.col("text")))
 
 
@@ -258,18 +271,16 @@ def bm25_topk(spark, sf):
 
 def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
     e = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return e, e.filter("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return e, e.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 _COS = """cs as (select q.vec_id as query_id, e.vec_id as doc_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as cosine
-from embeddings e join embeddings q on q.vec_id < 5)"""
+from embeddings e join embeddings q on q.vec_id % 50 = 0)"""
 
 
 @query(f"with {_COS}, r as (select *, row_number() over (partition by query_id order by cosine desc, doc_id) as rank from cs) select query_id, doc_id, cosine, rank::int as rank from r where rank <= 8")
 def vec_topk(spark, sf):
-    e, q = _vectors(spark, sf)
-    scored = retrieval.vector_scores(e, q).withColumn("cosine", F.round("cosine", 6)).drop("embedding")
-    return retrieval.top_k(scored, 8, "cosine")
+    return retrieval.nearest(*_vectors(spark, sf), 8)
 
 
 @query(f"with {_PAIRS} select a, b, round(similarity, 6) as similarity from pairs")
@@ -295,15 +306,13 @@ def vec_assign_capacity(spark, sf):
 
 
 _HYBRID = f"""{_BM25}, {_COS}, best as (select query_id, max(bm25) as top from bm group by 1),
-h as (select c.query_id, c.doc_id, round(0.7 * cosine + 0.3 * case when top > 0 then coalesce(bm25, 0) / top else 0 end, 6) as score from cs c left join bm using (query_id, doc_id) left join best using (query_id)),
+h as (select c.query_id, c.doc_id, round(0.7 * cosine + 0.3 * case when top > 0 then coalesce(bm25, 0) / top else 0 end, 9) as score from cs c left join bm using (query_id, doc_id) left join best using (query_id)),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from h)"""
 
 
 def _hybrid(spark, sf, k: int) -> DataFrame:
     e, q = _vectors(spark, sf)
-    vectors = retrieval.vector_scores(e, q).withColumn("cosine", F.round("cosine", 6)).drop("embedding")
-    fused = retrieval.fuse(vectors, _bm25(spark, sf)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
-    return retrieval.top_k(fused, k)
+    return retrieval.hybrid_top_k(e, q, _bm25(spark, sf), k)
 
 
 @query(f"with {_HYBRID} select query_id, doc_id, score, rank::int as rank from r where rank <= 4")
@@ -311,20 +320,43 @@ def hybrid_topk(spark, sf):
     return _hybrid(spark, sf, 4)
 
 
-@query(f"with {_HYBRID} select query_id, 'v' || doc_id as name, score, rank::int as rank from r where rank <= 8")
+_BIGRAMS = "unnest(case when length({c}) > 1 then list_transform(range(1, length({c})), lambda i: substr({c}, i, 2)) else [{c}] end) as term"
+_NAMES = "docs as (select 'v' || vec_id as doc_id from embeddings), " + bm25_sql(f"select doc_id, {_BIGRAMS.format(c='doc_id')} from docs", f"select vec_id as query_id, {_BIGRAMS.format(c=chr(39) + 'v' + chr(39) + ' || vec_id')} from embeddings where vec_id % 50 = 0")
+_LINKS = f"""{_NAMES}, {_COS}, best as (select query_id, max(bm25) as top from bm group by 1),
+h as (select c.query_id, 'v' || c.doc_id as name, round(0.7 * cosine + 0.3 * case when top > 0 then coalesce(bm25, 0) / top else 0 end, 9) as score from cs c left join bm on bm.query_id = c.query_id and bm.doc_id = 'v' || c.doc_id left join best on best.query_id = c.query_id),
+linked as (select *, row_number() over (partition by query_id order by score desc, name) as rank from h)"""
+
+
+def _service(spark, sf) -> tuple[DomainService, DataFrame]:
+    """A service over the SIM graph whose entities have the table's vectors, and its queries: every vector whose id is divisible by 50, asked by name."""
+    e, q = _vectors(spark, sf)
+    name = lambda c: F.concat(F.lit("v"), F.col(c).cast("string"))
+    service = DomainService(spark, None, X.sim(spark, sf), dedup.hashing_embedder(), entities=e.select(name("doc_id").alias("doc_id"), "embedding"))
+    return service, q.select("query_id", name("query_id").alias("text"), "query_vector")
+
+
+@query(f"with {_LINKS} select query_id, rank::int as rank, name, score from linked where rank <= 8")
 def entity_link(spark, sf):
-    return _hybrid(spark, sf, 8).select("query_id", F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("name"), "score", "rank")
+    service, queries = _service(spark, sf)
+    return service.entity_hits(queries)
 
 
-@query(f"""with {_HYBRID} select query_id, 0 as type_ord, 'chunk' as type, rank::int as rank, case when length(trim(text, ' ' || chr(10))) > 160 then left(trim(text, ' ' || chr(10)), 160) || '…' else trim(text, ' ' || chr(10)) end as text, source, score
-from r join documents using (doc_id) where rank <= 4
-union all select query_id, 1, 'entity', rank::int, null, null, score from r where rank <= 8""")
+_FUSION = f"""{_SIM.replace('with recursive ', '')}, {_LINKS}, seeds as (select query_id, name, score from linked where rank <= 8), {_DECAY}"""
+
+
+@query(f"""with recursive hy as (with {_HYBRID} select * from r), {_FUSION}
+select query_id, 0 as type_ord, 'chunk' as type, rank::int as rank, case when length(trim(text, ' ' || chr(10))) > 160 then left(trim(text, ' ' || chr(10)), 160) || '…' else trim(text, ' ' || chr(10)) end as text, source, score
+from hy join documents using (doc_id) where rank <= 4
+union all select query_id, 1, 'entity', rank::int, name, null, score from linked where rank <= 8
+union all select query_id, 2, 'triple', rank::int, src || ' -[' || relation || ']-> ' || dst, null, score from ranked where rank <= 40""")
 def source_fusion(spark, sf):
     docs = X.table(spark, sf, "documents").select("doc_id", "text", "source", F.lit(None).cast("int").alias("page"))
     chunks = _hybrid(spark, sf, 4).join(docs, "doc_id")
-    entities = entity_link(spark, sf)
-    none = spark.createDataFrame([], "query_id bigint, rank int, src string, relation string, dst string, score double")
-    return retrieval.fuse_sources(chunks, entities, none).select("query_id", "type_ord", "type", "rank", "text", "source", "score")
+    service, queries = _service(spark, sf)
+    entities = _persisted(service.entity_hits(queries))
+    triples = retrieval.decayed_subgraph(service.graph.triples, entities)
+    fused = retrieval.fuse_sources(chunks, entities, triples)
+    return fused.select("query_id", "type_ord", "type", "rank", F.coalesce("text", "name").alias("text"), "source", "score")
 
 
 # --- model answers and cache ---
@@ -371,10 +403,22 @@ def cache_antijoin(spark, sf):
     return extraction.cache_hits(keys, keys.filter("doc_id % 3 = 0"))
 
 
-@query("""with b as (select doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) as name from documents) select doc_id, count(distinct name)::bigint as n_entities from b group by 1""")
+#: Words as the rule adapter sees them: whole runs of letters, digits and underscores.
+_NAMED = r"list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{2,}}'))"
+
+
+@query(f"""select doc_id::varchar as doc_id, unnest(list_distinct({_NAMED.format(t='text')})) as name from documents""")
 def extract_rule_entities(spark, sf):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0)))
-    return X.table(spark, sf, "documents").select("doc_id", F.size(found).cast("bigint").alias("n_entities")).filter("n_entities > 0")
+    """The rule extractor over whole documents: calls, answers, parsing, no cap."""
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    rows = docs.withColumn("key", T.cache_key("entities", "rules", F.col("text")))
+
+    def ask(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "value": [extraction.rule_entities(t) for t in pdf["text"]]})
+
+    answered, _ = extraction.through_cache(rows, "key", spark.createDataFrame([], "key string, value string"), ask, ["text"])
+    return answered.select(F.col("chunk_id").alias("doc_id"), F.explode(T.parse_entities(F.col("value"))).alias("name"))
 
 
 @query()
@@ -404,21 +448,34 @@ def page_sections(spark, sf):
     return sections.assemble(_page_records(spark, sf))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
-s as (select doc_id, i // 4 as section, max(x) filter (where i % 4 = 0) as h, string_agg(x || chr(10), '' order by i) filter (where i % 4 <> 0) as content from l group by all),
-t as (select doc_id, section, content, case section % 6 when 0 then '1.1 ' || h when 1 then '思 考 题' when 2 then '实训项目' when 3 then h when 4 then '2.1 ' || h else '参考文献' end as heading, section % 6 as k from s)
-select doc_id, section::bigint as section, heading from t where k in (0, 4) and trim(coalesce(content, ''), ' ' || chr(10)) <> ''""")
+_SKIP = "|".join(f"(?:{p})" for p in T.SKIP_HEADINGS)
+_BODY = r"^\s*\d+(\.\d+)+|^\s*第[一二三四五六七八九十百]+[章节]"
+_REFERENCE = r"^\s*\[?\d+\]?\s*[、.．)）:：]?\s*[^\n]*(?:出版社|学报|期刊)"
+_HEADS = ("1.1 {h}", "思 考 题", "实训项目", "{h}", "第二章 实训项目", "{h}", "2.1 {h}", "参考文献", "{h}", "3.10 {h}")
+
+
+@query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
+s as (select doc_id, i // 4 as section, max(x) filter (where i % 4 = 0) as h,
+  string_agg(case when i % 4 = 2 and i // 4 % 3 = 0 then '[2] ' || x || ' 出版社' when i % 4 = 3 and i // 4 % 5 = 0 then '参考 文献' else x end || chr(10), '' order by i) filter (where i % 4 <> 0) as content from l group by all),
+t as (select doc_id, section, content, case section % 10 {" ".join(f"when {i} then {' || '.join(q for q in (chr(39) + t.replace('{h}', '') + chr(39), 'h' if '{h}' in t else '') if q)}" for i, t in enumerate(_HEADS))} end as heading from s where trim(coalesce(content, ''), ' ' || chr(10)) <> ''),
+n as (select *, regexp_replace(heading, '\s+', '', 'g') as hh from t),
+e as (select *, regexp_matches(hh, '{_SKIP}') as skip, regexp_matches(hh, '{_BODY}') and not regexp_matches(hh, '{_SKIP}') as body, contains(hh, '实训项目') as block from n),
+f as (select *, coalesce(last_value(case when skip and block then 1 when body then 0 end ignore nulls) over (partition by doc_id order by section rows between unbounded preceding and 1 preceding), 0) = 1 as inside from e),
+k as (select *, string_split(content, chr(10)) as xs from f where case when inside then body else not skip end),
+c as (select *, list_position(list_transform(xs, lambda x: regexp_matches(x, '{_REFERENCE}') or regexp_replace(x, '\s+', '', 'g') = '参考文献'), true) as hit from k),
+d as (select *, case when hit > 0 then array_to_string(xs[:hit - 1], chr(10)) else content end as cut from c)
+select doc_id, section::bigint as section, heading, md5(cut) as digest from d where trim(cut, ' ' || chr(10)) <> ''""")
 def sections_clean(spark, sf):
-    """Cleaning: the unnumbered section after a block heading goes with it, numbered ones stay."""
-    made = sections.assemble(_page_records(spark, sf)).withColumn("section", F.col("section") - 1)
-    k = F.col("section") % 6
-    h = F.col("heading")
-    # sections without content are gone already, so headings go by the original number
-    heading = F.when(k == 0, F.concat(F.lit("1.1 "), h)).when(k == 1, "思 考 题").when(k == 2, "实训项目").when(k == 3, h).when(k == 4, F.concat(F.lit("2.1 "), h)).otherwise("参考文献")
-    before = Window.partitionBy("doc_id").orderBy("section")
-    whole = made.withColumn("heading", heading).withColumn("_prev", F.lag("section").over(before))
-    kept = sections.clean(whole.drop("_prev"))
-    return kept.filter(k != 3).select("doc_id", "section", "heading")
+    """Cleaning with block headings, numbered headings that end or do not end a block, unnumbered ones inside, and reference lists."""
+    lines = F.split("text", "\n")
+    block = lambda kind, x: F.struct(F.lit(kind).alias("type"), F.lit(1).alias("level"), x.alias("text"), x.alias("content"))
+    section = lambda i: F.floor(i / 4)
+    listed = lambda x, i: F.when((i % 4 == 2) & (section(i) % 3 == 0), F.concat(F.lit("[2] "), x, F.lit(" 出版社"))).when((i % 4 == 3) & (section(i) % 5 == 0), "参考 文献").otherwise(x)
+    heads = lambda x, i: F.element_at(F.array(*[F.format_string(t.replace("{h}", "%s"), x) if "{h}" in t else F.lit(t) for t in _HEADS]), (section(i) % 10 + 1).cast("int"))
+    blocks = F.transform(lines, lambda x, i: F.when(i % 4 == 0, block("heading", heads(x, i))).otherwise(block("text", listed(x, i))))
+    pages = X.table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), blocks.alias("blocks"))
+    kept = sections.clean(sections.assemble(pages))
+    return kept.select("doc_id", (F.col("section") - 1).alias("section"), "heading", F.md5("content").alias("digest"))
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),

@@ -68,19 +68,47 @@ def write_graph_json(graph: Graph, path: str) -> None:
 def write_index(chunks: DataFrame, path: str, meta: dict[str, str]) -> None:
     """Index rows and the settings they were made with; the settings are written last."""
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    chunks.sparkSession.createDataFrame(sorted(meta.items()), "key string, value string").write.mode("overwrite").parquet(f"{path}/meta")
+    write_meta(chunks.sparkSession, path, meta)
+
+
+def write_meta(spark: SparkSession, path: str, meta: dict[str, str]) -> None:
+    """The settings of an index, written once its tables are there."""
+    spark.createDataFrame(sorted(meta.items()), "key string, value string").write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def append_pages(pages: DataFrame, path: str) -> None:
     pages.write.mode("append").json(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any Hadoop store, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_structured(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Structured documents (doc_id, title, sections) as JSON, a folder doc_id=NAME each; a new path, never the one *docs* are read from."""
+    docs.select("doc_id", "title", "sections").repartition("doc_id").write.mode(mode).partitionBy("doc_id").json(path)
+
+
+def as_documents(body: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, title, sections) of section rows (doc_id, section, heading, level, content) and titles (doc_id, title)."""
+    row = F.struct("section", "heading", F.col("level").cast("int").alias("level"), "content")
+    made = body.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("s"))
+    made = made.select("doc_id", F.transform("s", lambda x: F.struct(x["heading"].alias("heading"), x["level"].alias("level"), x["content"].alias("content"))).alias("sections"))
+    return titles.join(made, "doc_id", "left").select("doc_id", "title", F.coalesce("sections", F.array().cast("array<struct<heading:string,level:int,content:string>>")).alias("sections"))
+
+
 class PropertyGraphSink:
     """Upserts of nodes and edges.  *send(kind, rows)* is the adapter of a graph database and runs on the executors, in batches."""
 
     def __init__(self, send: Callable[[str, list[dict]], None], batch: int = 1000):
         self.send, self.batch = send, batch
 
+    def clear(self) -> None:
+        """Empty the database, once, from the driver."""
+        self.send("clear", [])
+
     def upload(self, graph: Graph, graph_name: str | None = None) -> tuple[int, int]:
         """(nodes, edges) sent; each batch is idempotent, so retried tasks do no harm."""
         nodes = graph.entities.select("name", F.lit(graph_name).alias("graph_name"))

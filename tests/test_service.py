@@ -32,7 +32,7 @@ def test_hybrid_sources_and_events(service):
 
 
 def test_adapters():
-    assert normalize_messages([{"role": "human", "content": ["a", {"type": "text", "text": "b"}]}]) == [{"role": "user", "content": "ab"}]
+    assert normalize_messages([{"role": "human", "content": ["a", {"type": "text", "text": "b"}]}]) == [{"role": "user", "content": "a\nb"}]
     assert model_name("x") == "openai/x" and model_name("a/b") == "a/b"
     with pytest.raises(ValueError):
         ModelSettings("gpt-5").checked()
