@@ -175,7 +175,7 @@ def test_mixing_learns_and_sums_to_one():
     trainer = mixing.Trainer(coder)
     for x in lines:
         trainer.add(x)
-    mixer = mixing.Mixer(coder, mixing.stretched(np.concatenate(_settled(trainer))))
+    mixer = mixing.Mixer(coder, mixing.stretched(np.concatenate(_settled(trainer, pairs))))
     known, n = mixer.score("the cat sat on the mat. " * 20)
     strange, m = mixer.score("zqx jvk wpf. " * 20)
     assert -known / n < -strange / m / 4
@@ -236,11 +236,12 @@ def brute_score(coder, tables, text):
 def test_score_matches_sequential_mixer():
     train = ["the cat sat on the mat. " * 30, "a dog, Übermut and 12 birds\n" * 9]
     lines = [mixing.symbols(t) for t in train]
-    coder = mixing.Coder(sum(map(mixing.pair_counts, lines)))
+    pairs = sum(map(mixing.pair_counts, lines))
+    coder = mixing.Coder(pairs)
     trainer = mixing.Trainer(coder)
     for x in lines:
         trainer.add(x)
-    mixer = mixing.Mixer(coder, mixing.stretched(np.concatenate(_settled(trainer))))
+    mixer = mixing.Mixer(coder, mixing.stretched(np.concatenate(_settled(trainer, pairs))))
     for text in ("The cat sat on a dog. " * 60, "", None, "zq", "the birds " * 2000):
         score, n = mixer.score(text)
         assert n == len(mixing.symbols(text)) and score == pytest.approx(brute_score(coder, mixer.table, text), rel=1e-4)
@@ -254,9 +255,21 @@ def test_cut_off(spark):
     assert scoring.cut_off(words, 400) == 0 and scoring.cut_off(words.limit(0), 5) == 0
 
 
-def _settled(trainer):
+def _settled(trainer, pairs):
     trainer.settle()
-    return trainer.counts
+    return [trainer.coder.order_one(pairs), *trainer.counts[1:]]
+
+
+def test_first_order_counts_follow_from_pairs():
+    lines = [mixing.symbols(t) for t in ("the cat sat. " * 9, "", "éa\n\n", None)]
+    pairs = sum(map(mixing.pair_counts, lines))
+    assert (mixing.pair_counts(*lines) == pairs).all()
+    coder = mixing.Coder(pairs)
+    expect = np.zeros(2 << mixing.SLOT_BITS[0], dtype=np.int64)
+    for line in lines:
+        for bits, slots in coder.segments(line):
+            np.add.at(expect, slots[0].astype(np.int64) * 2 + bits, 1)
+    assert (coder.order_one(pairs) == expect).all()
 
 
 def test_scores(spark):
