@@ -151,11 +151,12 @@ class LicenseScanner:
                     a, b = low + pairs[0][0], low + pairs[-1][0]
                     found.append((len(pairs), name, len(pairs) / n, spans[a][0], spans[b][1]))
                     done = b + 1
-        out: list[tuple[str, float, int, int, int]] = []
+        out: list[tuple[int, str, float, int, int]] = []  # kept in order of place, none overlapping
         for size, name, share, a, b in sorted(found, key=lambda f: (-f[0] * f[2], f[3], f[1])):
-            if all(b <= x[2] or a >= x[3] for x in out):
-                out.append((name, share, a, b, size))
-        return sorted(out, key=lambda x: x[2])
+            k = bisect_left(out, a, key=lambda x: x[0])
+            if (k == 0 or out[k - 1][3] <= a) and (k == len(out) or out[k][0] >= b):
+                out.insert(k, (a, name, share, b, size))
+        return [(name, share, a, b, size) for a, name, share, b, size in out]
 
 
 _COMMON = frozenset("a all an and any are as at by for from in is it no not of on or that the this to under with without you".split())
@@ -164,14 +165,14 @@ _COMMON = frozenset("a all an and any are as at by for from in is it no not of o
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, start, end, matched_words: one row per notice found in a text.
 
-    Null or empty texts have none; where notices overlap the larger one holds; equal notices at several places are each
-    reported; repeated rows are scanned each; extra columns are ignored.  Templates are program parameters, so
-    they are small.
+    Null or empty texts have none; where notices overlap the larger one holds (ties: the earlier, then by name); equal notices
+    at several places are each reported; repeated rows are scanned each; extra columns are ignored; an empty table gives an
+    empty result; texts of any length are read whole.  Templates are program parameters, so they are small.
     """
     scanner = LicenseScanner(TEMPLATES if templates is None else templates, coverage)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in scanner.matches(t)]
             columns = list(zip(*rows)) or [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]

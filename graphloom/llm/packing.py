@@ -81,7 +81,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     """Pieces of every document of ``doc_id, text``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one *end_id*; repeated rows are packed as rows of their own; an empty table has no pieces;
-    extra columns are ignored.  sequence_id counts from 0 without gaps.
+    extra columns are ignored; texts of any length are cut, with memory in proportion to the longest.  sequence_id counts
+    from 0 without gaps.
     """
 
     def run(batches):

@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bucket:
 
     component_id is the smallest doc_id reachable over links, its own included.  Rows without words have fingerprint
     zero and link like any other; repeated rows are rows of the same component; extra columns are ignored; an empty
-    table gives an empty result.
+    table gives an empty result; texts of any length are read whole, with memory in proportion to the longest.
     """
     marked = common.materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")

@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -168,6 +169,57 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_licenses_match_brute_force(spark):
+    """Templates of distinct words, where aligning is finding the longest common subsequence: every place, no seeds."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    templates = {f"t{k}": " ".join(word() for _ in range(n)) for k, n in enumerate((8, 20, 45))}
+    texts = []
+    for _ in range(90):
+        body = [word() for _ in range(rng.randrange(60))]
+        planted = templates[rng.choice(list(templates))].split()
+        share = rng.choice([0, 0.05, 0.1, 0.3, 0.5])
+        planted = [w for w in planted if rng.random() > share / 2]
+        planted = [word() if rng.random() < share / 2 else w for w in planted]
+        at = rng.randrange(len(body) + 1)
+        texts.append(" ".join(body[:at] + planted + body[at:]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license, r.matched_words) for r in licenses.scan_licenses(df, templates).collect()}
+    expect = set()
+    for d, t in enumerate(texts):
+        words = t.split()
+        for name, template in templates.items():
+            best = lcs(words, template.split())
+            if best >= licenses.COVERAGE * len(template.split()):
+                expect.add((d, name, best))
+    assert got == expect and 20 < len(got) < 80
+
+
+def test_licenses_in_a_very_long_text(spark):
+    notice = licenses.TEMPLATES["mit"]
+    text = ("filler words " * 40 + notice + " ") * 3000
+    df = spark.createDataFrame([(1, text), (1, text[:700])], "doc_id long, text string")
+    got = Counter(r.license for r in licenses.scan_licenses(df).collect())
+    assert got == {"mit": 3001}
+
+
+def test_packing_of_a_very_long_text(spark):
+    tok = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "word " * 300_000), (None, None), (3, "")], "doc_id long, text string")
+    got = packing.pack(df, tok).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == 300_001 and sum(r.length for r in got) == 300_003
+    assert max(r.length for r in got) <= packing.CAPACITY and packing.pack(df.limit(0), tok).count() == 0
+
+
 def test_mixing_learns_and_sums_to_one():
     lines = [mixing.symbols("the cat sat on the mat. " * 20)] * 5
     pairs = sum(map(mixing.pair_counts, lines))
