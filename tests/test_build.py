@@ -248,3 +248,38 @@ def test_chat_adapter_over_http():
         assert asked[-1][0] == "Bearer key" and asked[-1][1]["messages"] == [{"role": "user", "content": "hi"}]
     finally:
         server.shutdown()
+
+
+def test_page_images_and_extractors_over_chat(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pdf").write_bytes(b"one|two")
+    images = readers.pdf_page_images(spark, str(tmp_path), lambda content, dpi: [x + str(dpi).encode() for x in content.split(b"|")], 90)
+    import base64
+
+    assert sorted((r.page, base64.b64decode(r.content)) for r in images.collect()) == [(1, b"one90"), (2, b"two90")]
+
+    class Model:
+        def see(self, messages):
+            return json.dumps([p["type"] for p in messages[0]["content"]])
+
+        def chat(self, messages):
+            return messages[0]["content"][:45] + "|" + messages[-1]["content"]
+
+    assert adapters.PageReader(Model)("QQ==") == '["image_url", "text"]'
+    ask = adapters.ChatExtractor(Model)
+    assert ask.entities("text").endswith("|text") and '["a"]' in ask.relations("text", ["a"])
+    assert adapters.ChatExtractor(Model, conversation=True).entities("x") != ask.entities("x")
+    monkeypatch.setenv("GRAPHLOOM_GRAPH_HOST", "db")
+    at = adapters.ConnectionSettings.from_environment()
+    assert at.uri == "bolt://db:7687" and "password" not in repr(at)
+    assert adapters.EmbedderSettings().environment()["HF_HUB_OFFLINE"] == "1"
+
+
+def test_batch_embedder_and_cluster(spark):
+    def load():
+        return lambda texts: [[len(t), 1.0, float(len(texts))] for t in texts]
+
+    df = spark.createDataFrame([(f"n{i}" * (i + 1),) for i in range(5)], "name string").coalesce(1)
+    got = dedup.batch_embedder(load, batch=2)(df).collect()
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-9 for r in got) and len(got) == 5
+    g = Graph.from_rows(spark, ["Cats", "cat"], [("Cats", "p", "cat")])
+    assert rows(dedup.cluster(g, method="semantic", embed=EMBED).entities) == [("Cats",)] or rows(dedup.cluster(g, method="semantic", embed=EMBED).entities) == [("cat",)]
