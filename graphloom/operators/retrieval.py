@@ -85,13 +85,14 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens:
     return LexicalIndex.build(docs, doc_tokens, doc).scores(queries, query_tokens, doc, query)
 
 
-def top_k(scored: DataFrame, k: int, score: str = "score", tie: str = "doc_id", query: str = "query_id") -> DataFrame:
+def top_k(scored: DataFrame, k: int, score: str = "score", tie: str | tuple[str, ...] = "doc_id", query: str = "query_id") -> DataFrame:
     """The k best rows of each query, ties by *tie*, with their rank from 1.
 
     A first cut per salt keeps any one query's rows from meeting in a single task.
     """
-    best = [F.desc(score), F.col(tie)]
-    salted = scored.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(64)))
+    ties = (tie,) if isinstance(tie, str) else tie
+    best = [F.desc(score), *ties]
+    salted = scored.withColumn("_salt", F.pmod(F.xxhash64(*ties), F.lit(64)))
     near = salted.withColumn("_r", F.row_number().over(Window.partitionBy(query, "_salt").orderBy(*best))).filter(F.col("_r") <= k)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*best)))
     return ranked.filter(F.col("rank") <= k).drop("_salt", "_r")
@@ -219,8 +220,7 @@ def decayed_subgraph(triples: DataFrame, seeds: DataFrame, depth: int = 2, max_t
         reached = reached.unionByName(level)
     met = reached.join(edges, reached.name == edges.src).unionByName(reached.join(edges, reached.name == edges.dst))
     scored = met.groupBy("query_id", "src", "relation", "dst").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "src", "relation", "dst")))
-    return ranked.filter(F.col("rank") <= max_triples).select("query_id", "rank", "src", "relation", "dst", "score")
+    return top_k(scored, max_triples, tie=("src", "relation", "dst")).select("query_id", "rank", "src", "relation", "dst", "score")
 
 
 def fuse_sources(chunks: DataFrame, entities: DataFrame, triples: DataFrame) -> DataFrame:

@@ -283,3 +283,18 @@ def test_batch_embedder_and_cluster(spark):
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-9 for r in got) and len(got) == 5
     g = Graph.from_rows(spark, ["Cats", "cat"], [("Cats", "p", "cat")])
     assert rows(dedup.cluster(g, method="semantic", embed=EMBED).entities) == [("Cats",)] or rows(dedup.cluster(g, method="semantic", embed=EMBED).entities) == [("cat",)]
+
+
+def test_hashed_pairs_recall(spark):
+    """Against all pairs: vectors in tight groups, at similarities around the threshold."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(150, 32))
+    x = np.concatenate([c + rng.normal(scale=0.22, size=(6, 32)) for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "name long, embedding array<double>")
+    expect = {(r.a, r.b) for r in dedup.similar_pairs(items, 0.95).collect()}
+    got = {(r.a, r.b) for r in dedup.hashed_similar_pairs(items, 0.95).collect()}
+    assert got <= expect and len(expect) > 500 and len(got) >= 0.999 * len(expect)
+    assert dedup.hashed_similar_pairs(items.limit(0), 0.95).count() == 0
