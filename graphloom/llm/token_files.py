@@ -136,10 +136,11 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> None:
-    """Encode ``doc_id, text`` in ascending doc_id order (ties by text) into segment files under *path*.
+    """Encode ``doc_id, text`` in ascending doc_id order (ties by a hash of the text) into segment files under *path*.
 
     Null texts are empty; an empty text still gets *end_id*.  A null doc_id is written as -2^63 and read back
-    as null.  Extra columns are ignored.  Documents are range-partitioned, so shard numbers follow doc_id.
+    as null.  Extra columns are ignored.  Documents are range-partitioned by both, so shard numbers follow doc_id and rows of
+    one doc_id can be split.  An empty table gives no files with rows; texts of any length are encoded whole.
     """
 
     def run(batches):
@@ -169,7 +170,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if doc_ids:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     ordered.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
