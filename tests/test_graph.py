@@ -111,8 +111,19 @@ def test_capacity_assignment_matches_loop(spark):
                 load[k] += 1
     items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "name int, embedding array<double>")
     centers = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster int, center array<double>")
-    got = {r.item: r.cluster for r in dedup.assign_with_capacity(items, centers, 8).collect()}
-    assert got == {i: expect.get(i, 3) for i in range(30)}
+    for cells in (0, 40, 10**6):  # rounds on the cluster alone, both, the driver alone
+        got = {r.item: r.cluster for r in dedup.assign_with_capacity(items, centers, 8, last_cells=cells).collect()}
+        assert got == {i: expect.get(i, 3) for i in range(30)}
+
+
+def test_capacity_assignment_asks_for_more_centres(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "RANKS", 2)
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(size=(60, 3)).round(3), rng.normal(size=(7, 3)).round(3)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "name int, embedding array<double>")
+    centers = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster int, center array<double>")
+    first, second = ({r.item: r.cluster for r in dedup.assign_with_capacity(items, centers, 8, last_cells=n).collect()} for n in (0, 10**6))
+    assert first == second and len(first) == 60 and list(first.values()).count(7) == 4
 
 
 def test_semantic_dedup_joins_forms(spark):
