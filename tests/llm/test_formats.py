@@ -251,7 +251,7 @@ def brute_score(coder, tables, text):
                     h = (h ^ (back[i] + 1 + i)) * 0x85EBCA6B & 0xFFFFFFFF
                     h ^= h >> 13
                 done = order
-                mixed = ((h * 0xC2B2AE35 & 0xFFFFFFFF) ^ salt) * 0x27D4EB2F & 0xFFFFFFFF
+                mixed = (h * 0xC2B2AE35) + salt & 0xFFFFFFFF
                 inputs.append(int(table[mixed >> (32 - size)]) / 8)
             events.append((bit, inputs))
     weights = [list(map(float, w)) for w in mixing._START]
