@@ -36,6 +36,8 @@ FEW = 24
 #: Of the minima and maxima, how many may differ in their four marked bits.
 APART = 161
 PLANES = 4
+#: Bits, 64 to a row, of the broadcast table that tells which rows a join of texts can leave where they are.
+FILTER_BITS = 1 << 24
 _WORDS = 2 * BANDS * ROWS // 64
 _DRAW = np.random.default_rng(20240601)
 _A = (_DRAW.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -115,6 +117,27 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _bits(*columns: str) -> tuple[Column, Column]:
+    """Row and place of the bit of a key in the table of :func:`_filter`."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    return F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _filter(keys: DataFrame, *columns: str) -> DataFrame:
+    """filter_row, filter_mask: the bits of all *keys*, in at most FILTER_BITS / 64 rows whatever their number."""
+    row, place = _bits(*columns)
+    return keys.select(row.alias("filter_row"), place.alias("place")).groupBy("filter_row").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("filter_mask"))
+
+
+def _may_hold(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """*rows* with ``may``: false only where no key of *keys* agrees in *columns*.  No row is moved."""
+    row, place = _bits(*columns)
+    table = F.broadcast(_filter(keys, *columns))
+    met = rows.withColumn("filter_row", row).withColumn("filter_place", place).join(table, "filter_row", "left")
+    may = F.coalesce(F.getbit("filter_mask", F.col("filter_place")) == 1, F.lit(False))
+    return met.withColumn("may", may).drop("filter_row", "filter_place", "filter_mask")
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, hashes of the nodes in *wanted* (node, doc_id, text_key), from their texts."""
 
@@ -123,7 +146,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    texts = docs.select("doc_id", "text", _text_key().alias("text_key"))
+    texts = _may_hold(docs.select("doc_id", "text", _text_key().alias("text_key")), wanted, "doc_id", "text_key").filter("may")
     chosen = texts.join(wanted, (texts.doc_id.eqNullSafe(wanted.doc_id)) & (texts.text_key == wanted.text_key)).select("node", "text")
     return chosen.mapInArrow(run, "node long, hashes array<long>")
 
@@ -204,8 +227,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = grouped.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key"))
     kept = common.materialize(kept, "kept")
+    stay = lambda t: t.join(kept, t.doc_id.eqNullSafe(kept.kept_id) & (t.text_key == kept.kept_key), "left_semi")
+    lost = grouped.join(kept, grouped.doc_id.eqNullSafe(kept.kept_id) & (grouped.text_key == kept.kept_key), "left_anti")
+    lost = common.materialize(lost.select("doc_id", "text_key"), "lost")
     packed = docs.select(F.struct("*").alias("row"), "doc_id", _text_key().alias("text_key"))
-    stays = packed.join(kept, packed.doc_id.eqNullSafe(kept.kept_id) & (packed.text_key == kept.kept_key), "left_semi")
+    # rows that are surely not lost stay where they are
+    marked = _may_hold(packed, lost, "doc_id", "text_key")
+    stays = marked.filter("NOT may").unionByName(stay(marked.filter("may")))
     repeated = not grouped.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
     if repeated:  # rows that agree in doc_id and text
         stays = stays.dropDuplicates(["doc_id", "text_key"])

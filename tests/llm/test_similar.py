@@ -90,3 +90,23 @@ def test_repeated_line_does_not_hide_a_near_copy(spark):
     got = {r.doc_id: r.component for r in similar.similar_groups(docs).collect()}
     assert got[0] == got[1] == got[2] != got[3]
     assert sorted(r.doc_id for r in similar.keep_one_of_each(spark, docs, "").collect()) == [0, 3]
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_texts_that_cannot_be_meant_stay_where_they_are(spark, monkeypatch, bits):
+    monkeypatch.setattr(similar, "FILTER_BITS", bits)
+    rows = spark.createDataFrame([(None if i == 7 else i, i * i) for i in range(400)], "doc_id long, text_key long")
+    keys = rows.filter("doc_id IS NULL OR doc_id % 20 = 0")
+    marked = similar._may_hold(rows, keys, "doc_id", "text_key")
+    assert marked.columns == ["doc_id", "text_key", "may"]
+    got = {r.doc_id: r.may for r in marked.collect()}
+    wanted = {None, *range(0, 400, 20)}
+    assert len(got) == 400 and all(got[d] for d in wanted)
+    assert similar._filter(keys, "doc_id", "text_key").count() <= max(1, bits // 64)
+    if bits > 64:
+        assert sum(got.values()) <= len(wanted) + 2
+    # the stage keeps the same rows however many bits there are, repeated and null ones too
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    docs = spark.createDataFrame([(i, words(i % 25)) for i in range(60)] + [(3, words(3)), (None, words(2)), (None, words(99))], "doc_id long, text string")
+    out = similar.keep_one_of_each(spark, docs, "")
+    assert sorted(((r.doc_id is None, r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(False, i, words(i)) for i in range(25)] + [(True, None, words(99))], key=str)
