@@ -1,11 +1,12 @@
 """Near-duplicates at a shingle similarity of 0.8 or more, for the corpus pipeline.
 
-At similarity 0.8 about ten of 64 SimHash bits differ, and pigeonhole blocks for that radius are four bits long: every
-bucket would hold a sixteenth of the corpus.  So candidates come from min-wise bands over the same shingle hashes
-(a pair of similarity 0.8 misses all bands once in 1,500), and the exact Jaccard similarity of the shingle sets decides
-on every pair whose set sizes allow it.
+Candidates come first from SimHash: fingerprints of the distinct shingles, linked within RADIUS bits by the pigeonhole
+blocks of :mod:`simhash`.  At similarity 0.8 about ten of 64 bits differ, and blocks for that radius are four bits
+long: every bucket would hold a sixteenth of the corpus.  So the pairs beyond RADIUS come from min-wise bands over the same shingle
+hashes (a pair of similarity 0.8 misses all bands once in 1,500).  The exact Jaccard similarity of the shingle sets decides
+on every candidate of either kind whose set sizes allow it.
 
-Texts with equal shingle sets are one node from the start.  Nodes that already belong together are never compared.  In
+Texts with equal shingle sets are one node from the start.  Nodes that already belong together are never compared.  Then, in
 each round a bucket whose nodes outside its largest component are few compares those with all its nodes and is done; any other
 one compares a few pivots, the nodes that meet most others over all bands, with all its nodes, and drops them.
 Components are contracted between rounds and both numbers grow geometrically, so a group of copies costs work in proportion
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import close_links, fingerprint, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Bits within which fingerprints are linked by blocks.
+RADIUS = 4
 BANDS, ROWS = 40, 8
 #: Nodes outside a bucket's largest component that are compared with all its nodes at once, in the first round.
 FEW = 24
@@ -44,7 +47,7 @@ _A = (_DRAW.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).
 _B = _DRAW.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _MIX = _DRAW.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
-SKETCH = "row long, doc_id long, text_key long, set_id binary, n long, bands array<long>, marks array<long>"
+SKETCH = "row long, doc_id long, text_key long, set_id binary, n long, fp long, bands array<long>, marks array<long>"
 
 
 def extremes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,26 +91,27 @@ def _apart(a: str, b: str) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: row number (stable once written), doc_id, text_key, set_id (128-bit digest of the shingle set), set size, band keys."""
+    """Per row: row number (stable once written), doc_id, text_key, set_id (128-bit digest of the shingle set), set size, fingerprint, band keys."""
 
     def run(batches):
         import xxhash
 
         row = TaskContext.get().partitionId() << 36
         for batch in common.slices(batches):
-            sets, sizes, bands, marks = [], [], [], []
+            sets, sizes, prints, bands, marks = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 distinct = np.unique(shingle_hashes(text, SHINGLE))
                 low, high = extremes(distinct)
                 sets.append(xxhash.xxh3_128_digest(distinct.tobytes()))
                 sizes.append(len(distinct))
+                prints.append(fingerprint(distinct))
                 bands.append(band_keys(low))
                 marks.append(bit_planes(np.concatenate([low, high])))
             rows = pa.array(np.arange(row, row + len(sets), dtype=np.int64))
             row += len(sets)
             yield pa.RecordBatch.from_arrays(
-                [rows, batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, marks))],
-                names=["row", "doc_id", "text_key", "set_id", "n", "bands", "marks"],
+                [rows, batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, marks))],
+                names=["row", "doc_id", "text_key", "set_id", "n", "fp", "bands", "marks"],
             )
 
     return docs.select("doc_id", _text_key().alias("text_key"), "text").mapInArrow(run, SKETCH)
@@ -160,6 +164,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return alike.filter(F.col("shared") >= SIMILARITY * (F.col("sizes") - F.col("shared"))).select(*pairs.columns)
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of *nodes* (node, fp) whose fingerprints are within RADIUS bits: enough to hold each group of them together."""
+    prints = common.materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    equal = nodes.join(prints, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, other = (prints.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    close = close_links(prints.select("fp"), RADIUS).join(one, "a").join(other, "b")
+    return equal.unionByName(close.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+
+
 def _asking(members: DataFrame, pivots: int, few: int) -> tuple[DataFrame, DataFrame]:
     """(key, node, n, component) rows to compare with all of their bucket, and the keys that need another round.
 
@@ -186,12 +199,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = common.materialize(banded.join(sizes, "key"), "shared")
     hubs = common.materialize(shared.groupBy("node").agg(F.sum("size").alias("hub")), "hubs")
-    known = common.materialize(hubs.join(nodes, "node").select("node", "hub", "doc_id", "text_key", "marks"), "known")
-    wanted = known.select("node", "doc_id", "text_key")
+    near = common.materialize(_near_prints(nodes.filter("n > 0").select("node", "fp")), "near")
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
+    asked = common.materialize(hubs.select("node").unionByName(ends).distinct(), "asked")
+    wanted = common.materialize(asked.join(nodes, "node").select("node", "doc_id", "text_key"), "wanted")
     sets = common.materialize(_shingle_sets(docs, wanted), "shingle-sets")
-    members = shared.join(known, "node").select("key", "node", "n", "hub", "marks", F.col("node").alias("component"))
+    start = components(common.materialize(_verified(near, sets), "similar"), "a", "b")
+    classes = asked.join(start, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    classes = common.materialize(classes, "classes")
+    known = common.materialize(hubs.join(nodes, "node").join(classes, "node").select("node", "hub", "marks", "component"), "known")
+    members = shared.join(known, "node").select("key", "node", "n", "hub", "marks", "component")
     members = common.materialize(members, "members")
-    classes, pivots, few = hubs.select("node", F.col("node").alias("component")), 1, FEW
+    pivots, few = 1, FEW
     while True:
         asking, buckets = _asking(members, pivots, few)
         asking = common.materialize(asking.withColumn("asks", F.lit(True)), "asking")

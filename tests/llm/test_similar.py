@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import common, similar, simhash
 
@@ -110,3 +111,29 @@ def test_texts_that_cannot_be_meant_stay_where_they_are(spark, monkeypatch, bits
     docs = spark.createDataFrame([(i, words(i % 25)) for i in range(60)] + [(3, words(3)), (None, words(2)), (None, words(99))], "doc_id long, text string")
     out = similar.keep_one_of_each(spark, docs, "")
     assert sorted(((r.doc_id is None, r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(False, i, words(i)) for i in range(25)] + [(True, None, words(99))], key=str)
+
+
+def test_simhash_blocks_find_near_copies(spark, monkeypatch):
+    """Without a shared band, copies whose fingerprints are within four bits are found by the pigeonhole blocks alone."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    texts = []
+    for _ in range(12):
+        words = [word() for _ in range(600)]
+        texts += [" ".join(words), " ".join(words[:-1] + [word()]), " ".join([word()] + words)]
+    texts += [" ".join(word() for _ in range(600)) for _ in range(20)]
+    sets = [set(simhash.shingle_hashes(t, similar.SHINGLE).tolist()) for t in texts]
+    prints = [simhash.fingerprint(np.array(sorted(s), dtype=np.uint64)) for s in sets]
+    close = [(i, j) for i, j in alike(sets, range(len(sets))) if (prints[i] ^ prints[j]).bit_count() <= similar.RADIUS]
+    assert len(close) >= 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketches = similar.sketches
+    apart = F.transform("bands", lambda b, i: F.xxhash64("row", i))
+    monkeypatch.setattr(similar, "sketches", lambda d: sketches(d).withColumn("bands", apart))
+    got = {r.doc_id: r.component for r in similar.similar_groups(docs).collect()}
+    assert all(got[i] == got[j] for i, j in close)
+    assert len({got[i] for i in range(36, 56)}) == 20
+    # fingerprints only propose: where all are equal, the exact similarity still decides
+    monkeypatch.setattr(similar, "sketches", lambda d: sketches(d).withColumn("fp", F.lit(0).cast("long")))
+    got = {r.doc_id: r.component for r in similar.similar_groups(docs).collect()}
+    assert [len({got[i] for i in range(k, k + 3)}) for k in range(0, 36, 3)] == [1] * 12 and len(set(got.values())) == 32
