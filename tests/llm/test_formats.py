@@ -339,3 +339,77 @@ def test_scores(spark):
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (total + len(counts) + 1)) for x in w))
         assert r.score < 0
     assert scoring.score_documents(df.limit(0)).count() == 0
+
+
+def one_by_one(coder, tables, start, text):
+    """The score of a text by a mixer that learns after each decision, in plain Python."""
+    line = mixing.symbols(text).tolist()
+    past = [0] * mixing.PAST + line
+    weights, refined = [list(map(float, w)) for w in start[0]], list(map(float, start[1]))
+    nats = 0.0
+    for at, symbol in enumerate(line):
+        back = past[: at + mixing.PAST][::-1]
+        pair = back[0] * mixing.SYMBOLS + symbol
+        first = int(coder.offsets[pair])
+        for path in coder.path[first : first + int(coder.lengths[pair])].tolist():
+            x = []
+            for order, size, table in zip(mixing.ORDERS, mixing.SLOT_BITS, tables):
+                h = 0
+                for i in range(order):
+                    h = (h ^ (back[i] + 1 + i)) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 13
+                x.append(int(table[(h * 0xC2B2AE35 + (path | 1) & 0xFFFFFFFF) >> (32 - size)]) / 8)
+            bit, gate = path & 1, int(x[-1] != 0)
+            z = min(7.99, max(-7.99, sum(w * v for w, v in zip(weights[gate], x))))
+            p = 1 / (1 + math.exp(-z))
+            cell = int((z + 8) * mixing._MAP / 16) + gate * mixing._MAP
+            q = (refined[cell] + p) / 2
+            nats += math.log(q if bit else 1 - q)
+            weights[gate] = [w + mixing.STEP * (bit - p) * v for w, v in zip(weights[gate], x)]
+            refined[cell] += mixing.MAP_STEP * (bit - refined[cell])
+    return nats / math.log(10)
+
+
+def _trained(texts):
+    lines = [mixing.symbols(t) for t in texts]
+    pairs = sum(map(mixing.pair_counts, lines))
+    coder = mixing.Coder(pairs)
+    trainer = mixing.Trainer(coder)
+    for x in lines:
+        trainer.add(x)
+    return coder, _settled(trainer, pairs), lines
+
+
+@pytest.mark.parametrize("alone", [0, 8])
+def test_every_decision_is_learned_from(monkeypatch, alone):
+    """Whatever the lanes, the scores are those of a sequential mixer with the learned start."""
+    monkeypatch.setattr(mixing, "ALONE", alone)
+    coder, counts, lines = _trained(["the cat sat on the mat. " * 30, "a dog, Übermut and 12 birds\n" * 9])
+    start = mixing.learned_start(coder, counts, lines)
+    assert np.abs(start[0] - mixing._START).max() > 1e-3 and np.abs(start[1] - mixing.fresh_map()).max() > 1e-3
+    mixer = mixing.Mixer(coder, mixing.stretched(np.concatenate(counts)), start)
+    texts = ["The cat sat on a dog. " * 60, "", "zq", "the birds " * 300, "", "a cat", "birds sat " * 40] * 3
+    expect = {t: one_by_one(coder, mixer.table, start, t) for t in set(texts)}
+    for lanes in (1, 2, 64):
+        monkeypatch.setattr(mixing.Lanes.__init__, "__defaults__", (lanes,))
+        got = dict(mixer.scores((i, mixing.symbols(t)) for i, t in enumerate(texts)))
+        assert sorted(got) == list(range(len(texts)))
+        assert all(got[i] == pytest.approx(expect[t], rel=1e-4) for i, t in enumerate(texts))
+    # after the first decision already, unlike by blocks
+    assert got[0] != pytest.approx(mixer.score(texts[0])[0], rel=1e-4)
+
+
+def test_start_values_leave_own_counts_out():
+    """Random texts share no long context, so that order 5 earns no trust, though every text's own contexts are in the table."""
+    rng = np.random.default_rng(8)
+    strange = ["".join(map(chr, rng.integers(97, 123, 3000))) for _ in range(12)]
+    coder, counts, lines = _trained(strange)
+    start = mixing.learned_start(coder, counts, lines)
+    mixer = mixing.Mixer(coder, mixing.stretched(np.concatenate(counts)), start)
+    new = mixing.symbols("".join(map(chr, rng.integers(97, 123, 3000))))
+    learned = next(mixer.scores([(0, new)]))[1]
+    fixed = next(mixing.Mixer(coder, np.concatenate(mixer.table)).scores([(0, new)]))[1]
+    assert learned > fixed
+    # whole texts and beginnings of them, no texts at all
+    assert np.isfinite(mixing.learned_start(coder, counts, [x[:700] for x in lines])[0]).all()
+    assert (mixing.learned_start(coder, counts, [])[0] == mixing._START).all()
