@@ -156,7 +156,9 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of *pairs* (a, b, ...) whose shingle sets have the similarity; repeats in *sets* are harmless."""
+    """The rows of *pairs* (a, b, ...; read twice) whose shingle sets have the similarity; repeats in *sets* are harmless."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = _may_hold(sets, ends, "node").filter("may").drop("may")  # sets of no pair are not dealt out
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
     both = one.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
@@ -164,6 +166,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return alike.filter(F.col("shared") >= SIMILARITY * (F.col("sizes") - F.col("shared"))).select(*pairs.columns)
 
 
+def _one_of_each_set(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The *rows* that are the first of their set_id, as ``node``; only those that may be later ones are dealt out."""
+    later = rows.select("row", "set_id").join(firsts, "set_id").filter("row <> node").select("row")
+    later = common.materialize(later, "later")
+    marked = _may_hold(rows, later, "row")
+    first = marked.filter("NOT may").unionByName(marked.filter("may").join(later, "row", "left_anti"))
+    return first.drop("may").withColumnRenamed("row", "node")
+
+
+def _of_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """*wanted* joined with *nodes*, of which only those that may be wanted are dealt out."""
+    return wanted.join(_may_hold(nodes, wanted, "node").filter("may").drop("may"), "node")
+
+
 def _near_prints(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of *nodes* (node, fp) whose fingerprints are within RADIUS bits: enough to hold each group of them together."""
     prints = common.materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
@@ -193,7 +209,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, component) for each row of *docs*; component is a number of this call.  *docs* is read twice."""
     rows = common.materialize(sketches(docs), "sketches")
     firsts = common.materialize(rows.groupBy("set_id").agg(F.min("row").alias("node")), "sets")
-    nodes = rows.join(firsts.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node")
+    nodes = _one_of_each_set(rows, firsts)
     banded = nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("key"))
     banded = common.materialize(banded, "bands")
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -202,13 +218,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     near = common.materialize(_near_prints(nodes.filter("n > 0").select("node", "fp")), "near")
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
     asked = common.materialize(hubs.select("node").unionByName(ends).distinct(), "asked")
-    wanted = common.materialize(asked.join(nodes, "node").select("node", "doc_id", "text_key"), "wanted")
+    wanted = common.materialize(_of_nodes(nodes.select("node", "doc_id", "text_key"), asked), "wanted")
     sets = common.materialize(_shingle_sets(docs, wanted), "shingle-sets")
     start = components(common.materialize(_verified(near, sets), "similar"), "a", "b")
     classes = asked.join(start, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     classes = common.materialize(classes, "classes")
-    known = common.materialize(hubs.join(nodes, "node").join(classes, "node").select("node", "hub", "marks", "component"), "known")
-    members = shared.join(known, "node").select("key", "node", "n", "hub", "marks", "component")
+    marks = common.materialize(_of_nodes(nodes.select("node", "marks"), hubs.select("node")), "marks")
+    members = shared.join(hubs.join(classes, "node"), "node").select("key", "node", "n", "hub", "component")
     members = common.materialize(members, "members")
     pivots, few = 1, FEW
     while True:
@@ -218,8 +234,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
             break
         opened = members.join(buckets.select("key", "last"), "key").join(asking, ["key", "node"], "left")
         opened = common.materialize(opened.withColumn("asks", F.coalesce("asks", F.lit(False))), "opened")
-        left = opened.filter("asks").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("marks").alias("m_a"))
-        right = opened.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("marks").alias("m_b"), "asks")
+        told = opened.join(marks, "node")  # marks are ten times the rest: they come last
+        left = told.filter("asks").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("marks").alias("m_a"))
+        right = told.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("marks").alias("m_b"), "asks")
         plausible = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
         once = (F.col("c_a") != F.col("c_b")) & (~F.col("asks") | (F.col("a") < F.col("b")))
         pairs = left.join(right, "key").filter(plausible & once & (_apart("m_a", "m_b") <= APART)).select("a", "b", "c_a", "c_b").distinct()
@@ -227,7 +244,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         merged = common.materialize(components(links, "c_a", "c_b").withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "merged")
         named = lambda t: t.join(merged, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
         classes = common.materialize(named(classes), "classes")
-        members = named(opened.filter("NOT last AND NOT asks").select("key", "node", "n", "hub", "marks", "component"))
+        members = named(opened.filter("NOT last AND NOT asks").select("key", "node", "n", "hub", "component"))
         members = common.materialize(members, "members")
         pivots, few = pivots * 4, few * 16
     classes = classes.withColumnRenamed("component", "class")

@@ -137,3 +137,23 @@ def test_simhash_blocks_find_near_copies(spark, monkeypatch):
     monkeypatch.setattr(similar, "sketches", lambda d: sketches(d).withColumn("fp", F.lit(0).cast("long")))
     got = {r.doc_id: r.component for r in similar.similar_groups(docs).collect()}
     assert [len({got[i] for i in range(k, k + 3)}) for k in range(0, 36, 3)] == [1] * 12 and len(set(got.values())) == 32
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_few_rows_are_dealt_out_and_none_is_lost(spark, monkeypatch, bits):
+    monkeypatch.setattr(similar, "FILTER_BITS", bits)
+    held = []
+    may_hold = similar._may_hold
+    monkeypatch.setattr(similar, "_may_hold", lambda *a: held.append(may_hold(*a)) or held[-1])
+    rows = spark.createDataFrame([(i, bytes([i % 150]), i * 3) for i in range(200)], "row long, set_id binary, n long")
+    firsts = rows.groupBy("set_id").agg(F.min("row").alias("node"))
+    nodes = similar._one_of_each_set(rows, firsts)
+    assert sorted((r.node, r.n) for r in nodes.collect()) == [(i, i * 3) for i in range(150)]
+    wanted = spark.createDataFrame([(i, "x") for i in range(0, 300, 50)], "node long, more string")
+    assert sorted((r.node, r.more, r.n) for r in similar._of_nodes(nodes, wanted).collect()) == [(i, "x", i * 3) for i in (0, 50, 100)]
+    sets = spark.createDataFrame([(i, [10 * i // 2, 1, 2, 3, 4, 5, 6, 7, 8, 9] if i < 6 else [i]) for i in range(500)], "node long, hashes array<long>")
+    pairs = spark.createDataFrame([(0, 1), (2, 3), (7, 8)], "a long, b long")
+    assert sorted((r.a, r.b) for r in similar._verified(pairs, sets).collect()) == [(0, 1), (2, 3)]
+    # of 200 rows 50 are later ones, of 150 nodes 3 are wanted, of 500 sets 6 are in pairs
+    if bits > 64:
+        assert [h.filter("may").count() for h in held] == [50, 3, 6]
