@@ -295,5 +295,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows that pass, in the columns of *docs*."""
+    common.release(spark)
     stats = common.materialize(quality_statistics(docs, docs.columns), "quality")
-    return judge(stats).filter("kept").select("row.*")
+    common.release(spark)
+    judged = judge(stats)
+    common.release(spark)
+    return judged.filter("kept").select("row.*")

@@ -215,11 +215,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = common.materialize(banded.join(sizes, "key"), "shared")
     hubs = common.materialize(shared.groupBy("node").agg(F.sum("size").alias("hub")), "hubs")
+    common.release(docs.sparkSession)
     near = common.materialize(_near_prints(nodes.filter("n > 0").select("node", "fp")), "near")
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
     asked = common.materialize(hubs.select("node").unionByName(ends).distinct(), "asked")
     wanted = common.materialize(_of_nodes(nodes.select("node", "doc_id", "text_key"), asked), "wanted")
     sets = common.materialize(_shingle_sets(docs, wanted), "shingle-sets")
+    common.release(docs.sparkSession)
     start = components(common.materialize(_verified(near, sets), "similar"), "a", "b")
     classes = asked.join(start, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     classes = common.materialize(classes, "classes")
@@ -228,6 +230,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     members = common.materialize(members, "members")
     pivots, few = 1, FEW
     while True:
+        common.release(docs.sparkSession)  # each round plans a few dozen queries
         asking, buckets = _asking(members, pivots, few)
         asking = common.materialize(asking.withColumn("asks", F.lit(True)), "asking")
         if asking.isEmpty():
@@ -241,6 +244,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         once = (F.col("c_a") != F.col("c_b")) & (~F.col("asks") | (F.col("a") < F.col("b")))
         pairs = left.join(right, "key").filter(plausible & once & (_apart("m_a", "m_b") <= APART)).select("a", "b", "c_a", "c_b").distinct()
         links = common.materialize(_verified(common.materialize(pairs, "pairs"), sets), "similar")
+        common.release(docs.sparkSession)
         merged = common.materialize(components(links, "c_a", "c_b").withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "merged")
         named = lambda t: t.join(merged, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
         classes = common.materialize(named(classes), "classes")
@@ -259,7 +263,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of any length are read whole, with memory in proportion to the longest; an empty table stays empty; other columns,
     whatever their names, pass through.
     """
+    common.release(spark)
     grouped = common.materialize(similar_groups(docs), "groups")
+    common.release(spark)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = grouped.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key"))
     kept = common.materialize(kept, "kept")

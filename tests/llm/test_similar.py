@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -157,3 +158,21 @@ def test_few_rows_are_dealt_out_and_none_is_lost(spark, monkeypatch, bits):
     # of 200 rows 50 are later ones, of 150 nodes 3 are wanted, of 500 sets 6 are in pairs
     if bits > 64:
         assert [h.filter("may").count() for h in held] == [50, 3, 6]
+
+
+def test_finished_queries_are_let_go(spark, monkeypatch):
+    """The driver of a long session kept shuffles and freed native memory of every round until its limit."""
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    for i in range(5):
+        spark.range(50).groupBy((F.col("id") % 7 + i).alias("k")).count().collect()
+    held = shuffles()
+    ends = time.time() + 20
+    while shuffles() > held - 5 and time.time() < ends:  # Python's last references and Spark's cleaner have threads of their own
+        assert common.release(spark)  # the JVM of the tests can return native memory
+        time.sleep(0.2)
+    assert shuffles() <= held - 5
+    calls, release = [], common.release
+    monkeypatch.setattr(common, "release", lambda s: calls.append(release(s)))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 25}x{j}" for j in range(30)) + " end" * (i % 2)) for i in range(60)], "doc_id long, text string")
+    similar.keep_one_of_each(spark, docs, "")
+    assert len(calls) >= 5 and all(calls)
