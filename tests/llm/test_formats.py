@@ -413,3 +413,21 @@ def test_start_values_leave_own_counts_out():
     # whole texts and beginnings of them, no texts at all
     assert np.isfinite(mixing.learned_start(coder, counts, [x[:700] for x in lines])[0]).all()
     assert (mixing.learned_start(coder, counts, [])[0] == mixing._START).all()
+
+
+def test_a_lane_does_not_change_a_score(monkeypatch):
+    """The place of a document among the lanes once cost its predictions their lowest bits, and with them cells of the map."""
+    monkeypatch.setattr(mixing, "ALONE", 0)
+    rng = np.random.default_rng(5)
+    inputs = np.where(rng.random((3000, 4)) < 0.3, 0, rng.integers(-30, 31, (3000, 4))).astype(np.int8)
+    document = rng.integers(0, 2, 3000).astype(np.int8), inputs.view(np.int32).reshape(-1)
+    scores = dict(mixing.Lanes((mixing._START, mixing.fresh_map())).run((i, *document) for i in range(mixing.LANES)))
+    assert len(scores) == mixing.LANES and len(set(scores.values())) == 1
+
+
+def test_tasks_take_several_partitions(spark):
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(1000).selectExpr("id AS doc_id", "'x' AS text")
+    for parts, tasks in ((1, 1), (cores, cores), (7 * cores, -(-7 * cores // scoring.SPLITS)), (3 * cores, 2 * cores)):
+        taken = scoring._in_tasks(docs.repartition(parts))
+        assert taken.rdd.getNumPartitions() == tasks and taken.count() == 1000
