@@ -431,3 +431,13 @@ def test_tasks_take_several_partitions(spark):
     for parts, tasks in ((1, 1), (cores, cores), (7 * cores, -(-7 * cores // scoring.SPLITS)), (3 * cores, 2 * cores)):
         taken = scoring._in_tasks(docs.repartition(parts))
         assert taken.rdd.getNumPartitions() == tasks and taken.count() == 1000
+
+
+def test_new_plain_words_go_straight_to_the_model(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = type(encoder(path))(path)
+    text = "One two THREE qzxwvkj " + "y" * 60 + " one two\nthree Straße x1 end. I"
+    asked, simple = [], enc._simple
+    monkeypatch.setattr(enc, "_simple", lambda p: asked.append(p) or simple(p))
+    assert enc.ids(text) == enc.encode(text) == enc.ids(text)
+    assert asked and not any(p.isalpha() for p in asked)
