@@ -399,6 +399,34 @@ def test_every_decision_is_learned_from(monkeypatch, alone):
     assert got[0] != pytest.approx(mixer.score(texts[0])[0], rel=1e-4)
 
 
+def test_the_query_scores_one_decision_after_the_other(spark):
+    """The score of every row is the sequential mixer's, not only near it."""
+    texts = ["The cat sat on a DOG. " * 90, None, "", "Übermut, 12 birds\n\x00 \U0001f426 " * 40, "zq", "the cat sat on the mat. " * 900, "a\x7f\u0080"]
+    rows = [(i, texts[i % len(texts)]) for i in range(60)] + [(3, "zq"), (None, "zq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    coder, counts, _ = _trained([t for i, t in rows if not scoring.is_held_out(i)])
+    start = mixing.learned_start(coder, counts, scoring.start_lines(df))
+    table = np.split(mixing.stretched(np.concatenate(counts)), np.cumsum([1 << b for b in mixing.SLOT_BITS])[:-1])
+    expect = {t: one_by_one(coder, table, start, t) for t in texts}
+    got = Counter((r.doc_id, round(r.score, 6)) for r in scoring.score_documents(df).collect())
+    assert got == Counter((i, round(expect[t], 6)) for i, t in rows)
+
+
+def test_counts_of_contexts_are_the_trainers(spark):
+    """Counts that take one, two and four bytes, texts of several partitions, and no texts at all."""
+    texts = ["a" * 70_000, "the cat sat on the mat. " * 40, "Übermut\n", "", None] * 3
+    coder, expect, lines = _trained(texts)
+    code = spark.sparkContext._jsc.broadcast(coder.packed())
+    pairs = sum(map(mixing.pair_counts, lines))
+    ids = [i for i in range(100) if not scoring.is_held_out(i)]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    for parts in (1, 4, 40):
+        got = scoring.context_counts(df.repartition(parts), coder, code, pairs)
+        assert len(got) == len(expect) and all((g == e).all() for g, e in zip(got, expect))
+    assert max(e.max() for e in expect[1:]) > 1 << 16
+    assert not any(g.any() for g in scoring.context_counts(df.limit(0), coder, code, pairs)[1:])
+
+
 def test_start_values_leave_own_counts_out():
     """Random texts share no long context, so that order 5 earns no trust, though every text's own contexts are in the table."""
     rng = np.random.default_rng(8)
