@@ -44,10 +44,10 @@ def through_cache(rows: DataFrame, key: str, cache: DataFrame, call: Callable[[I
     return rows.join(known, key, "left"), fresh
 
 
-def cap_entities(found: DataFrame, cap: int = ENTITY_CAP) -> DataFrame:
-    """At most *cap* names per chunk in their order, names with a double quote left out."""
+def cap_entities(found: DataFrame, cap: int | None = ENTITY_CAP) -> DataFrame:
+    """At most *cap* names per chunk in their order (None: all of them), names with a double quote left out."""
     clean = F.filter("entities", lambda e: ~e.contains('"'))
-    return found.withColumn("entities", F.slice(clean, 1, cap))
+    return found.withColumn("entities", clean if cap is None else F.slice(clean, 1, cap))
 
 
 def known_endpoints(relations: DataFrame, entities: DataFrame, chunk: str = "chunk_id") -> DataFrame:
@@ -73,7 +73,7 @@ def isolated(call: Callable[..., str]) -> Callable[..., str]:
     return run
 
 
-def extract_chunks(chunks: DataFrame, cache: DataFrame, model: str = "rules", entities: EntityExtractor = rule_entities, relations: RelationExtractor = rule_relations) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def extract_chunks(chunks: DataFrame, cache: DataFrame, model: str = "rules", entities: EntityExtractor = rule_entities, relations: RelationExtractor = rule_relations, cap: int | None = ENTITY_CAP) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(names(chunk_id, name), triples(chunk_id, ...), failed(chunk_id, error), new cache rows) of chunks (chunk_id, text).
 
     A call that raises leaves its chunk in *failed*; the other chunks are not touched, and what failed is asked again next time.
@@ -93,7 +93,7 @@ def extract_chunks(chunks: DataFrame, cache: DataFrame, model: str = "rules", en
     keyed = chunks.select("chunk_id", "text", T.cache_key("entities", model, F.col("text")).alias("key"))
     answered, new_entities = through_cache(keyed, "key", cache, ask_entities, ["text"])
     answered = _persisted(answered.select("chunk_id", "text", "value"))
-    named = _persisted(cap_entities(answered.filter(~bad).select("chunk_id", "text", T.parse_entities(F.col("value")).alias("entities"))))
+    named = _persisted(cap_entities(answered.filter(~bad).select("chunk_id", "text", T.parse_entities(F.col("value")).alias("entities")), cap))
     rekeyed = named.withColumn("key", T.cache_key("relations", model, F.col("text"), F.to_json("entities")))
     related, new_relations = through_cache(rekeyed, "key", cache, ask_relations, ["text", "entities"])
     related = _persisted(related.select("chunk_id", "value"))

@@ -2,7 +2,7 @@ import json
 
 import numpy as np
 
-from graphloom import queries
+from graphloom import component_queries, queries
 from graphloom.operators import chunking, dedup, extraction
 from graphloom.sources import readers
 
@@ -42,3 +42,24 @@ def test_capacity_clusters_cover_the_table(spark, tmp_path):
                 load[k] += 1
     assert got == {i: expect.get(i, 3) for i in range(len(x))}
     assert sum(c < 3 for c in got.values()) == 384
+
+
+def test_conversation_graphs_keep_all_names(spark, tmp_path):
+    """A conversation of more names than a chunk's cap: every pair of neighbours is in both graphs."""
+    words = ["w" * 8 + "".join(chr(97 + int(d)) for d in f"{i:03d}") for i in range(400)]
+    turns = [(1, 0, "user", " ".join(words[:200])), (1, 1, "assistant", " ".join(words[200:])), (3, 0, "user", "brokenword brokenother")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    # the role of the next line stands between the turns: "assistant" is a long word, too
+    line = [*words[:200], "assistant", *words[200:]]
+    expect = set(zip(line, line[1:]))
+    assert {(r.subject, r.object) for r in component_queries.conv_graph(spark, str(tmp_path)).collect()} == expect | {("brokenword", "brokenother")}
+    got = {(r.kind, r.value) for r in component_queries.conv_graph_isolated(spark, str(tmp_path)).collect()}
+    assert got == {("triple", f"{a}|{b}") for a, b in expect} | {("failed", "3|no answer")}
+
+
+def test_greedy_representative_of_a_later_round(spark):
+    """4 is next to 2 and to 3; 3 is chosen a round before 2, which follows nobody once 1 has gone to 0."""
+    items = spark.createDataFrame([(i,) for i in range(5)], "name int")
+    links = spark.createDataFrame([(0, 1), (1, 2), (2, 4), (3, 4)], "a int, b int")
+    got = {r.item: r.representative for r in dedup.greedy_selection(items, links).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2}
