@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.analytics import _persisted
 from ..plans.graph import Graph
+from .chunking import SLICE_ROWS
 
 ENTITY_CAP = 150
 
@@ -39,7 +40,11 @@ def rule_relations(text: str, entities: list[str]) -> str:
 def through_cache(rows: DataFrame, key: str, cache: DataFrame, call: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], inputs: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with column value, new cache rows): keys in *cache* (key, value) skip the call; each missing key is called once."""
     asked = rows.dropDuplicates([key]).join(cache.select(key), key, "left_anti").select(key, *inputs)
-    fresh = _persisted(asked.mapInPandas(call, f"{key} string, value string"))
+
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return call(pdf.iloc[i : i + SLICE_ROWS] for pdf in batches for i in range(0, len(pdf), SLICE_ROWS))
+
+    fresh = _persisted(asked.mapInPandas(sliced, f"{key} string, value string"))
     known = cache.select(key, "value").unionByName(fresh)
     return rows.join(known, key, "left"), fresh
 
